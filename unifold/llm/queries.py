@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from unifold.llm.leakage import find_leaks
-from unifold.llm.records import record_groups
+from unifold.llm.records import free_values, record_groups
+from unifold.llm.refmap import map_values
 from unifold.llm.survivor import field_candidates, fused_survivors, ranked_survivors
 from unifold.runtime import read_table
 
@@ -31,13 +32,19 @@ def p2_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_survivors(field_candidates(profiles, record_groups(profiles)))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every skill name, country and job title with the reference entry it means, or -1."""
+    values = free_values(read_table(spark, sf_dir, "output_default"))
+    return map_values(values, read_table(spark, sf_dir, "ref_values")).select("record_no", "field_name", "pos", "ref_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each evaluation item that stands in it."""
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

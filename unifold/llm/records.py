@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unifold.functions.identifiers import identifier_keys
+from unifold.functions.text import strip
 from unifold.llm.components import connected_components, edges_from_keys
 
 
@@ -21,3 +22,14 @@ def record_groups(profiles: DataFrame) -> DataFrame:
     )
     groups = connected_components(profiles.select(F.col("record_no").alias("id")), edges_from_keys(keyed))
     return groups.select(F.col("id").alias("record_no"), "group_no")
+
+
+def free_values(profiles: DataFrame) -> DataFrame:
+    """Non-blank free values with their place: (record_no, field_name, pos, kind, value)."""
+    def listed(arr: str, member: str, kind: str) -> DataFrame:
+        each = profiles.select("record_no", F.posexplode(arr).alias("pos", "x"))
+        return each.select("record_no", F.lit(f"{arr}.{member}").alias("field_name"), F.col("pos").cast("bigint").alias("pos"), F.lit(kind).alias("kind"), F.col(f"x.{member}").alias("value"))
+
+    country = profiles.select("record_no", F.lit("location.country").alias("field_name"), F.lit(0).cast("bigint").alias("pos"), F.lit("country").alias("kind"), F.col("location.country").alias("value"))
+    every = listed("skills", "name", "skill").union(country).union(listed("experience", "title", "title"))
+    return every.where(strip(F.col("value")) != "")
