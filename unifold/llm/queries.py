@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from unifold.llm.leakage import find_leaks
-from unifold.llm.records import free_values, record_groups
+from unifold.llm.records import free_values, profile_texts, record_groups
 from unifold.llm.refmap import map_values
+from unifold.llm.scanned import inspect_texts
 from unifold.llm.survivor import field_candidates, fused_survivors, ranked_survivors
 from unifold.runtime import read_table
 
@@ -38,13 +40,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_values(values, read_table(spark, sf_dir, "ref_values")).select("record_no", "field_name", "pos", "ref_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile text with each kind of scanner damage in it."""
+    texts = inspect_texts(profile_texts(read_table(spark, sf_dir, "output_default")))
+    return texts.select("record_no", "field_name", "pos", F.explode("damage").alias("damage"))
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile text in its repaired form; undamaged ones as they are."""
+    texts = inspect_texts(profile_texts(read_table(spark, sf_dir, "output_default")))
+    return texts.select("record_no", "field_name", "pos", F.col("repaired").alias("text"), (F.size("damage") > 0).alias("was_damaged"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each evaluation item that stands in it."""
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p6_found": p6_found, "p6_repaired": p6_repaired, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

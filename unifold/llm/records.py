@@ -33,3 +33,11 @@ def free_values(profiles: DataFrame) -> DataFrame:
     country = profiles.select("record_no", F.lit("location.country").alias("field_name"), F.lit(0).cast("bigint").alias("pos"), F.lit("country").alias("kind"), F.col("location.country").alias("value"))
     every = listed("skills", "name", "skill").union(country).union(listed("experience", "title", "title"))
     return every.where(strip(F.col("value")) != "")
+
+
+def profile_texts(profiles: DataFrame) -> DataFrame:
+    """Job summaries and headlines with their place: (record_no, field_name, pos, text)."""
+    zero = F.lit(0).cast("bigint")
+    jobs = profiles.select("record_no", F.posexplode("experience").alias("pos", "x")).select("record_no", F.lit("experience.summary").alias("field_name"), F.col("pos").cast("bigint").alias("pos"), F.col("x.summary").alias("text"))
+    heads = profiles.select("record_no", F.lit("headline").alias("field_name"), zero.alias("pos"), F.col("headline").alias("text"))
+    return jobs.union(heads)
