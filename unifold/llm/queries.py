@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unifold.llm.leakage import find_leaks
+from unifold.llm.namelinks import distinct_names, linked_names
 from unifold.llm.records import free_values, profile_texts, record_groups
 from unifold.llm.refmap import map_values
 from unifold.llm.scanned import inspect_texts
@@ -52,13 +53,28 @@ def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("record_no", "field_name", "pos", F.col("repaired").alias("text"), (F.size("damage") > 0).alias("was_damaged"))
 
 
+def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct strings of the three name columns."""
+    columns = [
+        read_table(spark, sf_dir, "sample_csv").select("name"),
+        read_table(spark, sf_dir, "output_default").select("full_name"),
+        read_table(spark, sf_dir, "github_mock").select("user_profile.name"),
+    ]
+    return distinct_names(columns)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of spellings of one person's name."""
+    return linked_names(person_names(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each evaluation item that stands in it."""
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p6_found": p6_found, "p6_repaired": p6_repaired, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
