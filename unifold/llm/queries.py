@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unifold.llm.leakage import find_leaks
+from unifold.llm.linkage import link_people
 from unifold.llm.namelinks import distinct_names, linked_names
 from unifold.llm.records import free_values, profile_texts, record_groups
 from unifold.llm.refmap import map_values
@@ -35,6 +36,16 @@ def p2_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_survivors(field_candidates(profiles, record_groups(profiles)))
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a sheet or code-host row and a profile record of one person, with a confidence."""
+    return link_people(read_table(spark, sf_dir, "sample_csv"), read_table(spark, sf_dir, "github_mock"), read_table(spark, sf_dir, "output_default"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of p3_links."""
+    return p3_links(spark, sf_dir).select("src_table", "src_id", "record_no")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every skill name, country and job title with the reference entry it means, or -1."""
     values = free_values(read_table(spark, sf_dir, "output_default"))
@@ -74,7 +85,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p3_links": p3_links, "p5_found": p5_found, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
