@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from unifold.llm.leakage import find_leaks
 from unifold.llm.linkage import link_people
 from unifold.llm.namelinks import distinct_names, linked_names
+from unifold.llm.packing import item_sizes, pack
+from unifold.llm.pieces import split_documents
 from unifold.llm.records import free_values, profile_texts, record_groups
 from unifold.llm.refmap import map_values
 from unifold.llm.scanned import inspect_texts
@@ -84,8 +86,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or part of an oversized one, with its container of 2,048 tokens."""
+    return pack(item_sizes(read_table(spark, sf_dir, "documents")))
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every text above 512 tokens, overlapping by 64."""
+    return split_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p3_links": p3_links, "p5_found": p5_found, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_fused": p2_fused, "p3_found": p3_found, "p3_links": p3_links, "p5_found": p5_found, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_found": p7_found, "p8_containers": p8_containers, "p9_found": p9_found, "p10_pieces": p10_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
