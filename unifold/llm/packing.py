@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from unifold.llm.tokens import DEFAULT_VOCABULARY, count
@@ -175,21 +175,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, dep
     histogram[0] = 0
     spark = items.sparkSession
     shared = spark.sparkContext.broadcast(_slots(plan(histogram, buckets, depth), buckets))
-    before = F.coalesce(F.sum("n").over(_by_bucket()), F.lit(0))
-    offsets = counts.withColumn("before", before).groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "before"))).alias("before"))
+    earlier = Window.partitionBy("bucket").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("pid", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("pid", "bucket").orderBy(*items.columns)
+    ranked = placed.withColumn("k", F.row_number().over(within)).join(offsets, ["pid", "bucket"])
+    ranked = ranked.select(*items.columns, "bucket", (F.col("before") + F.col("k") - 1).alias("rank"))
     schema = f"{items.schema.simpleString()[7:-1]},container_no bigint"
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = shared.value
-        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
-            bucket, pid = batch["bucket"].to_numpy(), batch["pid"].to_numpy()
-            local = batch.groupby(["pid", "bucket"]).cumcount().to_numpy()
-            start = np.array([seen.get(k, 0) for k in zip(pid, bucket)], np.int64)
-            for k, n in batch.groupby(["pid", "bucket"]).size().items():
-                seen[k] = seen.get(k, 0) + int(n)
-            first = np.array([dict(m).get(b, 0) for m, b in zip(batch["before"], bucket)], np.int64)
-            rank = first + start + local
+            bucket, rank = batch["bucket"].to_numpy(), batch["rank"].to_numpy()
             container = np.zeros(len(batch), np.int64)
             for b in np.unique(bucket):
                 if b:
@@ -198,15 +194,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, dep
                     k = np.searchsorted(upto, rank[at], side="right")
                     inside = rank[at] - np.concatenate([[0], upto])[k]
                     container[at] = base[k] + inside // each[k]
-            yield batch.drop(columns=["bucket", "pid", "before"]).assign(container_no=container)
+            yield batch.drop(columns=["bucket", "rank"]).assign(container_no=container)
 
-    return placed.join(F.broadcast(offsets), "pid").select(*items.columns, "bucket", "pid", "before").mapInPandas(assign, schema)
-
-
-def _by_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    return ranked.mapInPandas(assign, schema)
 
 
 def _slots(patterns: list[tuple[dict[int, int], int]], buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
