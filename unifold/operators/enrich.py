@@ -20,12 +20,14 @@ def enrich(records: DataFrame, profiles: DataFrame, seen: DataFrame | None = Non
     """The records and, after them, those of profiles they mention; one hop only.
 
     ``profiles`` has (user, repos); a profile is found by its login or by the handle of its link,
-    the login first. Handles in ``seen`` were fetched before and are left out.
+    the login first, and of several the first by ``ingest_idx`` (place in the scan without one).
+    Handles in ``seen`` were fetched before and are left out.
     """
-    keyed = profiles.where("user is not null").select(
+    place = F.col("ingest_idx") if "ingest_idx" in profiles.columns else F.monotonically_increasing_id()
+    keyed = profiles.where("user is not null").withColumn("place", place).select(
         F.explode(F.array_distinct(F.filter(F.array(F.lower("user.login"), handle(F.col("user.html_url"))), lambda x: x.isNotNull() & (x != "")))).alias("handle"),
-        "user", "repos", (F.lower("user.login")).alias("login"),
+        "user", "repos", "place", F.lower("user.login").alias("login"),
     )
-    best = keyed.groupBy("handle").agg(F.min_by(F.struct("user", "repos"), F.struct((F.col("login") != F.col("handle")).alias("other"), F.coalesce("login", F.lit("")).alias("login"))).alias("p"))
+    best = keyed.groupBy("handle").agg(F.min_by(F.struct("user", "repos"), F.struct((F.col("login") != F.col("handle")).alias("other"), "place")).alias("p"))
     hits = wanted_handles(records, seen, handle).join(best, "handle").select("first", "p.user", "p.repos").sort("first")
     return records.unionByName(github_records(numbered(hits, ENRICHED)))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from unifold.plans import nested_queries
+from unifold.plans import core_queries, nested_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**nested_queries.QUERIES}
+    return {**core_queries.QUERIES, **nested_queries.QUERIES}
