@@ -3,12 +3,13 @@
 A document leaks an item if it holds ``min_words`` or more consecutive words of the item in the
 item's order, of which at most one in ``one_in`` is exchanged for another word.
 
-Filter: of letters and digits only, in lower case, item and document share character q-grams. A
-passage that qualifies has a stretch of ``min_words`` words with at most ``ceil(min_words /
-one_in)`` exchanged ones, and an exchanged word of n characters destroys at most n + q - 1 of
-the stretch's q-grams (the q-gram lemma). Shared q-grams are counted by overlapping bands of
-diagonals, and only regions that reach the bound go on. Verification: the words of the region
-are aligned with the item's along the diagonals of the band.
+Filter: of letters and digits only, in lower case, item and document share character q-grams. Of
+a passage that qualifies one half qualifies too while it has twice ``min_words`` or more, so
+passages of ``min_words`` to twice that are looked for. Each exchanged word of n characters
+destroys at most n + q - 1 of a passage's q-grams (the q-gram lemma), which bounds from below
+what an item's passages keep. Shared q-grams are counted by overlapping bands of diagonals and
+overlapping blocks of the item; only regions that reach the bound go on. Verification: the words
+of the region are aligned with the item's along the diagonals of the band.
 
 The corpus is read once and never shuffled. The items are a stated query set: they go to the
 executors in blocks whose size is checked, so any number of them can be searched.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 4_000_000
 CHUNK_CHARS = 1 << 20
 BAND = 64
+SLACK = 400
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|&[A-Za-z]{2,8};|&#\d{1,6};", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _BITS = 22
@@ -69,7 +71,8 @@ class Index:
     min_words: int
     one_in: int
     q: int
-    least: np.ndarray  # by item: shared q-grams a region must have
+    least: np.ndarray  # by item, shift and block: shared q-grams a region must have
+    stretch: int  # most characters of a passage to look for; a block of an item is twice that
     ids: list[int]
     words: list[list[str]]
     hashes: np.ndarray
@@ -82,19 +85,32 @@ class Index:
 def build_index(items: list[tuple[int, str]], min_words: int, one_in: int, largest_q: int = 16) -> Index:
     """The q-gram index of one block of items."""
     kept = [(i, w) for i, t in items if len(w := words(t)) >= min_words]
-    budget = -(-min_words // one_in)
-    run = -(-(min_words - budget) // (budget + 1))  # words in the longest unbroken run, at least
+    # A longer passage that qualifies has a half that does, so lengths below twice the least are all.
+    sizes = [n for n in range(min_words, 2 * min_words) if n == min_words or n % one_in == 0]
+    run = min(-(-(n - n // one_in) // (n // one_in + 1)) for n in sizes)  # words in the longest unbroken run, at least
     spans = [sum(map(len, w[p : p + run])) for _, w in kept for p in range(len(w) - run + 1)]
     q = max(1, min([largest_q, *spans]))
-    least = []
-    for _, w in kept:
-        n = np.array([len(x) for x in w])
-        ends = np.concatenate([[0], np.cumsum(n)])
-        stretch = ends[min_words:] - ends[:-min_words]
-        longest = np.array([sorted(n[p : p + min_words])[-budget:] for p in range(len(w) - min_words + 1)]).sum(axis=1)
-        lemma = stretch - q + 1 - longest - budget * (q - 1)
-        unbroken = min(ends[run:] - ends[:-run]) - q + 1
-        least.append(max(1, int(lemma.min()), int(unbroken)))
+    bounds, stretch = [], 1
+    for i, (_, w) in enumerate(kept):
+        length = np.array([len(x) for x in w])
+        ends = np.concatenate([[0], np.cumsum(length)])
+        unbroken = int(min(ends[run:] - ends[:-run])) - q + 1
+        whole = min(2 * min_words - 1, len(w))
+        stretch = max(stretch, int((ends[whole:] - ends[:-whole]).max()))
+        for n in sizes:
+            if n > len(w):
+                break
+            m = n // one_in
+            first, last = ends[:-n], ends[n:]
+            lost = np.array([sum(sorted(length[p : p + n])[-m:]) for p in range(len(w) - n + 1)]) if m else 0
+            bounds.append((i, first, last, np.maximum(max(1, unbroken), last - first - q + 1 - lost - m * (q - 1))))
+    blocks = 1 + max((int(e.max()) for _, _, e, _ in bounds), default=0) // stretch
+    least = np.full((len(kept), 2, blocks + 1), 1 << 30, np.int64)
+    for i, first, last, bound in bounds:
+        for half in (0, 1):
+            block = (first + half * stretch) // (2 * stretch)
+            inside = (last - 1 + half * stretch) // (2 * stretch) == block
+            np.minimum.at(least[i, half], block[inside], bound[inside])
     texts = ["".join(w) for _, w in kept]
     grams = [_hashes(_codes(t), q) for t in texts]
     h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -104,7 +120,7 @@ def build_index(items: list[tuple[int, str]], min_words: int, one_in: int, large
     uniq, starts = np.unique(h[order], return_index=True)
     bitmap = np.zeros(1 << _BITS, bool)
     bitmap[(uniq >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Index(min_words, one_in, q, np.array(least, np.int64), [i for i, _ in kept], [w for _, w in kept], uniq, np.append(starts, len(h)), item[order], place[order], bitmap)
+    return Index(min_words, one_in, q, least, stretch, [i for i, _ in kept], [w for _, w in kept], uniq, np.append(starts, len(h)), item[order], place[order], bitmap)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -199,20 +215,29 @@ def _leaks(docs: list[tuple[int, str]], index: Index) -> list[tuple[int, int]]:
     doc = doc_of_hit[rows]
     diagonal = hit[rows] - np.array(begin)[doc] - place
     pair = doc.astype(np.int64) * len(index.ids) + item
-    found: set[int] = set()
+    found: dict[int, list[int]] = {}
     for shift in (0, BAND // 2):
-        band = (diagonal + shift) // BAND
-        key = (pair << 24) + (band + (1 << 23))
-        keys, n = np.unique(key, return_counts=True)
-        pairs = keys >> 24
-        found.update(pairs[n >= index.least[pairs % len(index.ids)]].tolist())
-    out, memo = [], {}
+        band = (diagonal + shift) // BAND + (1 << 21)
+        for half in (0, 1):
+            block = (place + half * index.stretch) // (2 * index.stretch)
+            keys, n = np.unique((((pair << 22) + band) << 12) + np.minimum(block, 4095), return_counts=True)
+            pairs = keys >> 34
+            enough = n >= index.least[pairs % len(index.ids), half, np.minimum(keys & 4095, index.least.shape[2] - 1)]
+            for p, d in zip(pairs[enough].tolist(), (((keys[enough] >> 12) & ((1 << 22) - 1)) - (1 << 21)) * BAND - shift, strict=True):
+                found.setdefault(p, []).append(int(d))
+    out, last, own, ends = [], -1, [], None
     for p in sorted(found):
         d, i = divmod(p, len(index.ids))
-        if d not in memo:
-            memo = {d: words(docs[d][1])}
-        if _aligned(memo[d], index.words[i], index.min_words, index.one_in):
-            out.append((docs[d][0], index.ids[i]))
+        if d != last:
+            last, own = d, words(docs[d][1])
+            ends = np.cumsum([len(w) for w in own])
+        size = sum(map(len, index.words[i]))
+        for diag in sorted(set(found[p])):
+            # The item laid on these diagonals, with room for words that are written otherwise.
+            lo = int(np.searchsorted(ends, diag - SLACK)), int(np.searchsorted(ends, diag + BAND + size + SLACK)) + 1
+            if _aligned(own[max(0, lo[0]) : lo[1]], index.words[i], index.min_words, index.one_in):
+                out.append((docs[d][0], index.ids[i]))
+                break
     return out
 
 
