@@ -28,10 +28,11 @@ def edges_from_keys(keyed: DataFrame, salts: int = DEFAULT_SALTS) -> DataFrame:
 
     Null ids or keys give no edge. Repeated rows are harmless.
     """
-    pairs = keyed.where(F.col("id").isNotNull() & F.col("key").isNotNull()).select(
-        "id", "key", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
+    pairs = cut_lineage(
+        keyed.where(F.col("id").isNotNull() & F.col("key").isNotNull())
+        .select("id", "key", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
     )
-    subs = pairs.groupBy("key", "salt").agg(F.min("id").alias("sub"))
+    subs = cut_lineage(pairs.groupBy("key", "salt").agg(F.min("id").alias("sub")))
     tops = subs.groupBy("key").agg(F.min("sub").alias("top"), F.count(F.lit(1)).alias("n"))
     low = pairs.join(subs, ["key", "salt"]).select(F.col("id").alias("a"), F.col("sub").alias("b"))
     high = subs.join(tops.where("n > 1"), "key").select(F.col("sub").alias("a"), F.col("top").alias("b"))
