@@ -36,10 +36,14 @@ CANONICAL_FIELDS = [
     "skills", "experience", "education", "repository_count", "provenance", "overall_confidence",
 ]
 
-GITHUB_SCHEMA = T.StructType.fromDDL(
-    "user struct<login:string,name:string,email:string,bio:string,location:string,html_url:string,blog:string,public_repos:int>,"
-    "repos array<struct<name:string,description:string,created_at:string,updated_at:string,language:string>>"
-)
+def _strings(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.StringType()) for n in names]
+
+
+GITHUB_SCHEMA = T.StructType([
+    T.StructField("user", T.StructType([*_strings("login", "name", "email", "bio", "location", "html_url", "blog"), T.StructField("public_repos", T.IntegerType())])),
+    T.StructField("repos", T.ArrayType(T.StructType(_strings("name", "description", "created_at", "updated_at", "language")))),
+])
 
 
 def empty(kind: str) -> Column:
