@@ -78,13 +78,11 @@ def connected_components(ids: DataFrame, edges: DataFrame, max_rounds: int = MAX
     return nodes.join(total, "id", "left").select("id", F.coalesce("label", "id").alias("group_no"))
 
 
-def _jump_to_roots(label: DataFrame, times: int = 2) -> DataFrame:
+def _jump_to_roots(label: DataFrame) -> DataFrame:
     """Replace each label by its own label until none changes; every pass doubles the reach."""
     while True:
-        new = label.withColumn("was", F.col("label"))
-        for _ in range(times):
-            up = label.select(F.col("id").alias("label"), F.col("label").alias("up"))
-            new = new.join(up, "label", "left").select("id", "was", F.coalesce("up", "label").alias("label"))
+        up = label.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        new = label.join(up, "label", "left").select("id", F.col("label").alias("was"), F.coalesce("up", "label").alias("label"))
         new = cut_lineage(new)
         label = new.select("id", "label")
         if new.where("label <> was").isEmpty():
