@@ -40,7 +40,7 @@ def flatten_json(df: DataFrame, doc_col: str, payload_col: str, anchor: str, lis
     scalar members as text, ``value`` a scalar list element as text. A null member or element is
     kept as a null, so places count it. For the schema paths in ``lists`` a lone object or
     scalar counts as a list of one, and a list written as JSON text as that list; null counts as
-    an empty list. Null and white-space payloads give no nodes; a payload that isn't valid JSON,
+    an empty list. Null and white-space payloads and rows with a null document give no nodes; a payload that isn't valid JSON,
     or that is nested too deeply for the parser, gives one node in table ``_invalid`` with the
     reason. Other columns of ``df`` are not read.
     """
@@ -51,13 +51,13 @@ def flatten_json(df: DataFrame, doc_col: str, payload_col: str, anchor: str, lis
             rows = []
             for doc, payload in zip(batch["doc"], batch["payload"], strict=True):
                 if payload is not None and payload.strip():
-                    rows.extend((None if pd.isna(doc) else int(doc), *node) for node in walk(payload))
+                    rows.extend((int(doc), *node) for node in walk(payload))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=NODE_SCHEMA.names)
                     rows = []
             yield pd.DataFrame(rows, columns=NODE_SCHEMA.names)
 
-    return df.select(F.col(doc_col).cast("bigint").alias("doc"), F.col(payload_col).alias("payload")).mapInPandas(run, NODE_SCHEMA)
+    return df.where(F.col(doc_col).isNotNull()).select(F.col(doc_col).cast("bigint").alias("doc"), F.col(payload_col).alias("payload")).mapInPandas(run, NODE_SCHEMA)
 
 
 def child_table(nodes: DataFrame, table_name: str, columns: tuple[str, ...] = ()) -> DataFrame:

@@ -57,7 +57,7 @@ def run_pipeline(
         records = records.unionByName(read_resumes(spark, resume_path, pdf_text))
     seen = None
     if github:
-        if exists(spark, github):
+        if not re.match(r"(?i)https?://", github.strip()) and exists(spark, github):
             own = read_github(spark, github)
         else:
             handle = handle_text(github)
