@@ -29,7 +29,7 @@ def item_sizes(docs: DataFrame, capacity: int = CAPACITY, path: str = DEFAULT_VO
     """(doc_id, part_no, first_token, n_tokens): each text, or the parts of one above the capacity.
 
     Parts are as large as the capacity but for the last. An empty text is one item of no tokens;
-    a null text is none.
+    a null text or a null id is none. Repeated rows are items of their own.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,7 +40,7 @@ def item_sizes(docs: DataFrame, capacity: int = CAPACITY, path: str = DEFAULT_VO
                 rows += [(doc, i, i * capacity, min(capacity, n - i * capacity)) for i in range(max(1, -(-n // capacity)))]
             yield pd.DataFrame(rows, columns=["doc_id", "part_no", "first_token", "n_tokens"])
 
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     return texts.mapInPandas(run, "doc_id bigint, part_no int, first_token bigint, n_tokens int")
 
 
@@ -161,10 +161,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, dep
 
     A length is rounded up to a multiple of capacity / buckets for the plan. Items of no tokens go
     to container 0. The numbering follows the written partitions, so a lost executor changes
-    nothing. An empty input gives no rows.
+    nothing. An empty input gives no rows. Columns named like the result's or the plan's own
+    (container_no, bucket, pid, k, before, rank) are replaced.
     """
     if capacity % buckets:
         raise ValueError("the capacity must be a multiple of the number of buckets")
+    items = items.drop("container_no", "bucket", "pid", "k", "before", "rank")
     unit = capacity // buckets
     rows = cut_lineage(items.withColumn("bucket", F.ceil(F.col("n_tokens") / unit).cast("int")))
     placed = rows.withColumn("pid", F.spark_partition_id())

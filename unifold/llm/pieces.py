@@ -155,7 +155,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
 def split_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Pieces of every document above the limit: SCHEMA, one row per piece.
 
-    Documents of at most ``limit`` tokens, null and empty texts give no rows. ``begin`` and
+    Documents of at most ``limit`` tokens, null and empty texts and null ids give no rows. ``begin`` and
     ``end`` are character offsets, ``overlap_begin`` is where the piece with its overlap starts,
     ``piece`` is text[overlap_begin:end]. Rows are handled alone, without a shuffle; repeated
     rows give repeated pieces. Other columns aren't read.
@@ -178,4 +178,4 @@ def split_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP,
                     rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, SCHEMA)

@@ -25,7 +25,12 @@ def record_groups(profiles: DataFrame) -> DataFrame:
 
 
 def free_values(profiles: DataFrame) -> DataFrame:
-    """Non-blank free values with their place: (record_no, field_name, pos, kind, value)."""
+    """Non-blank free values with their place: (record_no, field_name, pos, kind, value).
+
+    Null structs and arrays have none; rows with a null ``record_no`` are left out.
+    """
+    profiles = profiles.where(F.col("record_no").isNotNull())
+
     def listed(arr: str, member: str, kind: str) -> DataFrame:
         each = profiles.select("record_no", F.posexplode(arr).alias("pos", "x"))
         return each.select("record_no", F.lit(f"{arr}.{member}").alias("field_name"), F.col("pos").cast("bigint").alias("pos"), F.lit(kind).alias("kind"), F.col(f"x.{member}").alias("value"))
@@ -36,7 +41,11 @@ def free_values(profiles: DataFrame) -> DataFrame:
 
 
 def profile_texts(profiles: DataFrame) -> DataFrame:
-    """Job summaries and headlines with their place: (record_no, field_name, pos, text)."""
+    """Job summaries and headlines with their place: (record_no, field_name, pos, text).
+
+    Rows with a null ``record_no`` are left out.
+    """
+    profiles = profiles.where(F.col("record_no").isNotNull())
     zero = F.lit(0).cast("bigint")
     jobs = profiles.select("record_no", F.posexplode("experience").alias("pos", "x")).select("record_no", F.lit("experience.summary").alias("field_name"), F.col("pos").cast("bigint").alias("pos"), F.col("x.summary").alias("text"))
     heads = profiles.select("record_no", F.lit("headline").alias("field_name"), zero.alias("pos"), F.col("headline").alias("text"))

@@ -140,9 +140,10 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHA
 
     ``reference`` has ref_id, ref_kind, canonical, aliases; other columns and rows with a null
     id or kind are ignored. Null and blank values get -1, as do all values of a kind without
-    entries. Ties go to fewer edits, then the likelier slip, then the smaller ref_id.
+    entries. Columns named edits, cost or ref_id are replaced. Ties go to fewer edits, then the likelier slip, then the smaller ref_id.
     """
     spark = values.sparkSession
+    values = values.drop("edits", "cost", "ref_id")
     reference = reference.where("ref_id is not null and ref_kind is not null").select("ref_id", "ref_kind", "canonical", "aliases")
     total = reference.agg(F.sum(F.size(F.coalesce("aliases", F.array().cast("array<string>"))) + 1)).first()[0] or 0
     shards = max(1, -(-total // shard_entries))

@@ -292,8 +292,9 @@ def inspect_texts(texts: DataFrame, lexicon: tuple[dict, dict] | None = None, mi
     """Add ``repaired`` and ``damage`` (array) to rows with a column ``text``.
 
     The lexicon is counted from the same rows unless one is given. Null and blank texts have no
-    damage and stay as they are. Whole texts are read, of any length; equal rows get equal results.
+    damage and stay as they are. Whole texts are read, of any length; equal rows get equal results. Columns named repaired or damage are replaced.
     """
+    texts = texts.drop("repaired", "damage")
     words, pairs = lexicon or build_lexicon(texts, min_share)
     shared = texts.sparkSession.sparkContext.broadcast((words, pairs))
 
