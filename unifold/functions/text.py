@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def strip(c: Column) -> Column:
     """Remove white space of any script from both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def blank_to_null(c: Column) -> Column:
