@@ -141,7 +141,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
         out, fits = [], True
         for b, e in split_core(text, room, bounds):
             k = bisect_left(starts, b)
-            ob = starts[max(0, k - overlap)] if b else 0
+            ob = min(b, starts[max(0, k - overlap)])
             n = count(text[ob:e], path)
             if n > limit:  # tokens at a slice's edges may differ from the whole text's
                 fits = False

@@ -16,6 +16,7 @@ from unifold.llm.records import free_values, profile_texts, record_groups
 from unifold.llm.refmap import map_values
 from unifold.llm.scanned import inspect_texts
 from unifold.llm.survivor import field_candidates, fused_survivors, ranked_survivors
+from unifold.plans.oracle import handle_key, strip
 from unifold.runtime import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,4 +102,19 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can say in reasonable time; the others are tested by brute force."""
+    s = strip("v")
+    bare = f"regexp_replace({s}, '(?i)\\s*(?:;\\s*)?(?:ext\\.?|extension|x|#)\\s*\\d+\\s*$', '')"
+    d = f"regexp_replace({bare}, '\\D', '', 'g')"
+    phone = f"""case when length({d}) < 7 then null when {bare} like '+%' then '+' || {d} when {d} like '00%' and length({d}) > 11 then '+' || substr({d}, 3)
+      when length({d}) = 10 then '+1' || {d} when length({d}) = 11 and {d} like '1%' then '+' || {d} when length({d}) >= 12 then '+' || {d} else {d} end"""
+    return {
+        "p1_found": f"""with recursive keyed as (
+            select record_no as id, 'e:' || lower({s}) as k from (select record_no, unnest(emails) as v from output_default) t where {s} <> ''
+            union select record_no, 'p:' || {phone} from (select record_no, unnest(phones) as v from output_default) t where {phone} is not null
+            union select record_no, 'g:' || {handle_key("links.github")} from output_default where {handle_key("links.github")} is not null),
+          edges as (select distinct a.id as a, b.id as b from keyed a join (select k, min(id) as id from keyed group by k) b on a.k = b.k),
+          both_ways as (select a, b from edges union select b, a from edges),
+          reach as (select record_no as a, record_no as b from output_default union select r.a, e.b from reach r join both_ways e on r.b = e.a)
+          select a as record_no, min(b) as group_no from reach group by a""",
+    }

@@ -26,6 +26,7 @@ from unifold.llm.metric import BKTree, typing_cost
 NO_MATCH = -1
 SHARD_ENTRIES = 20_000
 CACHE_VALUES = 200_000
+LONG_VALUE = 1_000  # characters; a longer value is compared as it is, without looking for qualifiers
 
 # Qualifiers that say nothing about which entry is meant.
 _QUALIFIERS = re.compile(
@@ -69,6 +70,8 @@ def forms(value: str) -> list[str]:
     """Compact forms of a value, the plainest first: as typed, without qualifiers, spelled out."""
     text = unicodedata.normalize("NFKC", value).strip()
     out = [compact(text)]
+    if len(text) > LONG_VALUE:
+        return [f for f in out if f]
     inner = re.fullmatch(r"[(\[{]\s*(.*?)\s*[)\]}]", text)
     if inner:
         text = inner.group(1)

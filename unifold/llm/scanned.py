@@ -45,7 +45,7 @@ CONFUSIONS = [
 ]
 
 _HYPHENS = "-‐­¬"
-_SPLIT = re.compile(rf"([^\W_]+)([{_HYPHENS}])[ \t]*(?:\r\n|\r|\n|\f)\s*([^\W_]+)")
+_BREAK = re.compile(rf"(?<=[^\W_])([{_HYPHENS}])[ \t]*(?:\r\n|\r|\n|\f)\s*(?=[^\W_])")
 _NUMBER = re.compile(r"[-–—\[(|]?\s?(?:page|pg\.?|seite|p\.|s\.|pagina|página|blatt|sheet|folio)?\s?\d{1,4}(?:\s?(?:of|von|de|sur|/)\s?\d{1,4})?\s?[-–—\])|.]?", re.I)
 _TITLE = re.compile(r"(?:curriculum\s+vit(?:ae|æ)|c\.?v\.?|r[ée]sum[ée]|lebenslauf|(?:strictly\s+|private\s+and\s+)?confidential|vertraulich|draft)", re.I)
 _DIVIDER = re.compile(r"\s*[|·–—]\s*|\s+-\s+|\s{3,}")
@@ -99,18 +99,19 @@ def drop_page_lines(text: str) -> tuple[str, bool]:
 
 def join_split_words(text: str, lexicon: dict[str, int]) -> tuple[str, bool]:
     """Put words divided by a line's end together; a compound that has a hyphen anyway keeps it."""
-    found = False
-
-    def join(m: re.Match) -> str:
-        nonlocal found
-        left, hyphen, right = m.groups()
-        compound = f"{left}-{right}".lower()
-        if hyphen in "-‐" and lexicon.get(compound, 0) > lexicon.get((left + right).lower(), 0):
-            return f"{left}-{right}"
-        found = True
-        return left + right
-
-    return _SPLIT.sub(join, text), found
+    out, at, found = [], 0, False
+    for m in _BREAK.finditer(text):
+        begin, end = m.start(), m.end()
+        while begin > at and text[begin - 1].isalnum():
+            begin -= 1
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        left, right = text[begin : m.start()].lower(), text[m.end() : end].lower()
+        keep = m.group(1) in "-‐" and lexicon.get(f"{left}-{right}", 0) > lexicon.get(left + right, 0)
+        found |= not keep
+        out += [text[at : m.start()], "-" if keep else ""]
+        at = m.end()
+    return "".join([*out, text[at:]]), found
 
 
 def tokens(text: str) -> list[tuple[int, int, str]]:
@@ -272,7 +273,7 @@ def build_lexicon(texts: DataFrame, min_share: float = MIN_SHARE, min_count: int
             singles, doubles = Counter(), Counter()
             for text in batch["text"]:
                 if text:
-                    clean = _SPLIT.sub(r"\1\3", drop_page_lines(text)[0])
+                    clean = _BREAK.sub("", drop_page_lines(text)[0])
                     words = [w for _, _, w in tokens(clean)]
                     singles.update(words)
                     singles.update(_compounds(text))

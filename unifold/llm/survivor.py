@@ -103,10 +103,9 @@ def fused_survivors(candidates: DataFrame, rounds: int = 4, copy_rate: float = 0
         scored = votes if step == rounds - 1 else cut_lineage(votes)
         if step == rounds - 1:
             break
-        accuracy |= {
-            (r.field_name, r.source): min(0.99, max(0.05, r.a))
-            for r in scored.groupBy("field_name", "source").agg(F.avg("posterior").alias("a")).collect()
-        }
+        if step:  # copies must be known before votes may say how accurate a source is
+            means = scored.groupBy("field_name", "source").agg(F.avg("posterior").alias("a")).collect()
+            accuracy |= {(r.field_name, r.source): min(0.99, max(0.05, r.a)) for r in means}
         depends = _dependence(scored, accuracy, copy_rate, copy_prior, false_values)
     best = scored.groupBy("group_no", "field_name", "v", "posterior").agg(F.count(F.lit(1)).alias("support"), F.max_by(F.struct("value", "record_no"), F.struct(F.col("at").isNotNull(), "at", -F.col("record_no"))).alias("r"))
     order = Window.partitionBy("group_no", "field_name").orderBy(F.desc("posterior"), "v")
