@@ -49,6 +49,9 @@ def resolve_entities(records: DataFrame, handle=github_handle, max_rounds: int =
     for _ in range(max_rounds):
         low = hubs.join(labels, "ingest_idx").groupBy("kind", "key").agg(F.min("label").alias("low"))
         seen = hubs.join(low, ["kind", "key"]).groupBy("ingest_idx").agg(F.min("low").alias("low"))
+        # What a record learns its label learns too, so that whole groups move at once.
+        heard = labels.join(seen, "ingest_idx").select(F.explode(F.array("ingest_idx", "label")).alias("ingest_idx"), "low")
+        seen = heard.groupBy("ingest_idx").agg(F.min("low").alias("low"))
         met = labels.join(seen, "ingest_idx", "left").withColumn("new", F.least("label", F.coalesce("low", "label")))
         met = cut_lineage(met)
         up = met.select(F.col("ingest_idx").alias("new"), F.col("new").alias("up"))

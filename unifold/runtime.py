@@ -33,6 +33,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Survives the loss of any executor: the files are in the shared folder, unlike a local
     checkpoint, whose only copy is on the executor that computed it.
+
+    A checkpointed frame keeps the size estimate of the plan it came from. In a loop of joins the
+    estimates multiply every round, until the planner computes with numbers of millions of digits;
+    so the frame is made anew from the checkpointed rows.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    saved = df.checkpoint(eager=True)._jdf
+    fresh = spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False)
+    return DataFrame(fresh, spark)
