@@ -133,3 +133,23 @@ def test_firm_keys(spark):
 
     df = spark.createDataFrame([("Northmill Systems GmbH",), ("NORTHMILL",), ("Group",), (" ",), (None,)], "f string")
     assert [r[0] for r in df.select(firm_key(F.col("f"))).collect()] == ["northmill", "northmill", "group", None, None]
+
+
+def test_large_names_follow_the_same_rule(spark):
+    """Two components of one town are joined whatever the number of others; one that fits all is joined to none."""
+    from unifold.llm.linkage import Network, soft_matches
+
+    schema = "who string, comp bigint, towns array<string>, firms int, phones int, handles int"
+    for k in (4, 9, 30):
+        nodes = [("x", 1, ["a"], 1, 0, 0), ("x", 2, ["a"], 2, 0, 0), ("x", 3, [], 0, 0, 0)] + [("x", c, [f"t{c}"], 1, 0, 0) for c in range(4, k + 1)]
+        got = {r.comp: r.person for r in soft_matches(spark.createDataFrame(nodes, schema)).collect()}
+        assert got == {1: 1, 2: 1}, k
+    # Kinds with counts have the minimum of the network of all components.
+    nodes = [{"comp": c, "towns": [t] if t else [], "firms": f, "phones": 0, "handles": 0} for c, (t, f) in enumerate([("a", 1), ("b", 1), ("c", 1), ("d", 1), ("e", 1), ("", 0), ("", 0), ("e", 0)])]
+    pairs, pots = ground(nodes)
+    each = dict(zip(pairs, admm(len(pairs), pots, rounds=20_000)))
+    net = Network([x | {"n": 1 + (i == 5)} for i, x in enumerate(nodes) if i != 6])
+    while net.add(net.broken(y := admm(len(net.pairs), net.pots, counts=net.counts))):
+        pass
+    assert len(net.pairs) < len(pairs) and sum(map(net._count, net.pairs)) == len(pairs)
+    assert abs(y[net.at[0, 1]] - each[1, 0]) < 2e-3 and abs(y[net.at[5, 5]] - each[6, 5]) < 2e-3 and abs(y[net.at[0, 5]] - each[5, 0]) < 2e-3

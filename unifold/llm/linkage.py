@@ -16,15 +16,18 @@ variable in [0, 1], 1 meaning "the same person". Weighted rules become hinge los
 Their sum is convex; it is minimised by consensus ADMM, in which every potential solves its own
 small problem in closed form and the copies are averaged, for all names of a batch at once. The
 variables' values are the confidences. A name's variables are independent of other names', so
-partitions work in parallel. A name with more than ``MAX_NODES`` components is not grounded in
-pairs: among k components that all exclude each other, a component with equal evidence for each
-gets at most 1/k, which is no match; one whose town occurs in only one of them joins that one.
+partitions work in parallel. Components of one name with the same evidence are interchangeable,
+and so are towns with the same components: the minimum has equal values for all pairs of a kind,
+so one variable stands for them and a potential counts as often as it occurs. That is the same
+minimum, whatever the number of components.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement, permutations
+from math import comb, perm
 
 import numpy as np
 import pandas as pd
@@ -37,9 +40,10 @@ from unifold.llm.components import connected_components, edges_from_keys
 from unifold.llm.namelinks import distinct_names, name_clusters
 from unifold.runtime import cut_lineage
 
-MAX_NODES = 8
 MATCH = 0.5
-ROUNDS = 60
+TIE = 1e-3
+SLACK = 1e-4
+ROUNDS = 2000
 RHO = 1.0
 
 # Weights of the rules.
@@ -131,66 +135,195 @@ def component_nodes(people: DataFrame, meant: DataFrame, comps: DataFrame) -> Da
     return sums.join(towns, ["who", "comp"], "left").withColumn("towns", F.coalesce("towns", F.array().cast("array<string>")))
 
 
-def soft_matches(nodes: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+def soft_matches(nodes: DataFrame) -> DataFrame:
     """(comp, person, confidence): components of one name that soft logic joins, and whom to.
 
     ``person`` is the smallest of the joined components. A component of several names goes with
-    the name it is most confident of, so it never makes two names' people one.
+    the name it is most confident of, so it never makes two names' people one. A name comes to
+    its task as kinds of evidence with counts, not as components.
     """
-    size = nodes.groupBy("who").agg(F.count(F.lit(1)).alias("n"))
-    several = nodes.join(size.where("n > 1"), "who")
+    kind = ["who", "towns", "firms", "phones", "handles"]
+    told = nodes.select("who", "comp", F.array_sort("towns").alias("towns"), *((F.col(c) > 0).cast("int").alias(c) for c in kind[2:]))
+    size = nodes.groupBy("who").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("who")
+    kinds = told.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("comp")).join(size, "who")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _solve(batch["nodes"].tolist())
+            yield _solve(batch["who"].tolist(), batch["kinds"].tolist())
 
-    grouped = several.where(F.col("n") <= max_nodes).groupBy("who").agg(F.collect_list(F.struct("comp", "towns", "firms", "phones", "handles")).alias("nodes"))
-    solved = grouped.mapInPandas(solve, "comp bigint, person bigint, confidence double")
-    large = several.where(F.col("n") > max_nodes).select("who", "comp", "firms", F.explode("towns").alias("town"))
-    homes = large.where("firms > 0").groupBy("who", "town").agg(F.min("comp").alias("person"), F.max("comp").alias("other")).where("person = other").select("who", "town", "person")
-    housed = large.where("firms = 0").join(homes, ["who", "town"]).select("comp", "person", F.lit((W_NAME + W_TOWN) / (W_NAME + W_TOWN + W_OTHER_PHONE + W_OTHER_HANDLE)).alias("confidence"))
+    grouped = kinds.groupBy("who").agg(F.collect_list(F.struct("comp", "n", *kind[1:])).alias("kinds"))
+    solved = grouped.mapInPandas(solve, "who string, towns array<string>, firms int, phones int, handles int, person bigint, confidence double")
+    joined = told.join(solved, kind)
     best = F.max_by(F.struct("person", "confidence"), F.struct("confidence", -F.col("person")))
-    return solved.union(housed).groupBy("comp").agg(best.alias("b")).select("comp", "b.person", "b.confidence")
+    return joined.groupBy("comp").agg(best.alias("b")).select("comp", "b.person", "b.confidence")
+
+
+class Network:
+    """Variables and potentials of one name over kinds of components.
+
+    A kind is a dict of towns, firms, phones, handles, its number ``n`` of components and the
+    smallest of them. Of towns that hold equal kinds, three stand for all (``alike``): no
+    potential has more than three components. ``pairs`` are the variables as pairs of kinds,
+    ``pots`` the potentials (variables, coefficients, constant, weight), ``counts`` how often
+    each occurs; ``rivals`` are (variable, variable, variable of the excluding pair).
+    """
+
+    def __init__(self, kinds: list, alike: bool = True):
+        self.kinds = kinds
+        self.towns = [frozenset(x["towns"]) for x in kinds]
+        self.size = sum(x.get("n", 1) for x in kinds)
+        self.group: dict[int, tuple] = {}  # kind -> (its towns' profile, label of its town, kind within the town)
+        self.labels: dict[tuple, list[dict]] = {}  # profile -> by town: kind within the town -> kind
+        if alike:
+            self._group_towns()
+        slots = [i for i in range(len(kinds)) if i not in self.group or self.group[i][1] < 3]
+        self.pairs: list[tuple[int, int]] = []
+        self.at: dict[tuple, int] = {}
+        self.pots: list[tuple] = []
+        self.counts: list[int] = []
+        self.rivals: list[tuple[int, int, int]] = []
+        self.slots, self.excluded, self.triples = slots, [], set()
+        for p in combinations_with_replacement(slots, 2):
+            if self._canonical(p) == p and (count := self._count(p)):
+                self.at[p] = len(self.pairs)
+                self.excluded.append(self._pair(self.at[p], *p, count))
+                self.pairs.append(p)
+
+    def add(self, triples: Iterator[tuple[int, int, int]]) -> bool:
+        """Add the potentials of triples of kinds; whether any is new."""
+        before = len(self.triples)
+        for t in triples:
+            if (t := self._canonical(t)) in self.triples or not (count := self._count(t)):
+                continue
+            self.triples.add(t)
+            i, j, k = t
+            a, b, c = (self.at[self._canonical(p)] for p in ((i, j), (j, k), (i, k)))
+            for one, two, third in ((a, b, c), (a, c, b), (b, c, a)):
+                self._add(((one, two, third), (1.0, 1.0, -1.0), -1.0, W_TRANSITIVE), count)
+                if self.excluded[third]:
+                    self._add(((one, two), (1.0, 1.0), -1.0, W_EXCLUSIVE), count)
+                    self.rivals.append((one, two, third))
+        return len(self.triples) > before
+
+    def broken(self, y: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """The triples of kinds that cost anything at ``y``; without the others the minimum is the same."""
+        if len(self.slots) == 1 and self.size < 3:
+            return
+        where = np.array([[self.at.get(self._canonical((i, j)), -1) for j in self.slots] for i in self.slots])
+        value = np.where(where < 0, -9.0, y[where])
+        bound = np.where(where < 0, 9.0, np.where(np.array(self.excluded)[where], 0.0, value))
+        for j, row in enumerate(value):
+            for i, k in zip(*np.nonzero(np.triu(row[:, None] + row[None, :] - 1 - bound > SLACK))):
+                yield self.slots[i], self.slots[j], self.slots[k]
+
+    def _group_towns(self) -> None:
+        inner: dict[str, dict] = {}
+        mixed = {t for ts in self.towns if len(ts) > 1 for t in ts}
+        for i, (x, ts) in enumerate(zip(self.kinds, self.towns)):
+            if len(ts) == 1 and not ts & mixed:
+                inner.setdefault(next(iter(ts)), {})[bool(x["firms"]), bool(x["phones"]), bool(x["handles"]), x.get("n", 1)] = i
+        for by in inner.values():
+            self.labels.setdefault(tuple(sorted(by)), []).append(by)
+        self.labels = {p: towns for p, towns in self.labels.items() if len(towns) > 3}
+        for p, towns in self.labels.items():
+            for label, by in enumerate(towns):
+                for k, i in by.items():
+                    self.group[i] = (p, label, k)
+
+    def _alike(self, t: tuple[int, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+        """By profile in ``t``: its (label, kind within the town)."""
+        held: dict[tuple, list] = {}
+        for i in t:
+            if i in self.group:
+                p, label, k = self.group[i]
+                held.setdefault(p, []).append((label, k))
+        return iter(held.items())
+
+    def _canonical(self, t: tuple[int, ...]) -> tuple[int, ...]:
+        """The first of the equivalent tuples of kinds."""
+        out = [i for i in t if i not in self.group]
+        for p, held in self._alike(t):
+            out += min(sorted(self.labels[p][order[label]][k] for label, k in held) for order in permutations(range(3)))
+        return tuple(sorted(out))
+
+    def _count(self, t: tuple[int, ...]) -> int:
+        """How many sets of components a tuple of kinds stands for."""
+        count = 1
+        for i, times in Counter(t).items():
+            count *= comb(self.kinds[i].get("n", 1), times)
+        for p, held in self._alike(t):
+            used = sorted({label for label, _ in held})
+            same = sum(sorted((dict(zip(used, order))[label], k) for label, k in held) == sorted(held) for order in permutations(used))
+            count = count * perm(len(self.labels[p]), len(used)) // same
+        return count
+
+    def _add(self, pot: tuple, count: int) -> None:
+        self.pots.append(pot)
+        self.counts.append(count)
+
+    def _pair(self, v: int, i: int, j: int, count: int) -> bool:
+        """Add a pair's own potentials; whether its components exclude each other."""
+        x, y, tx, ty = self.kinds[i], self.kinds[j], self.towns[i], self.towns[j]
+        self._add(((v,), (-1.0,), 1.0, W_NAME), count)
+        against = bool(tx and ty and not tx & ty)
+        if tx and ty:
+            self._add(((v,), (1.0,), 0.0, W_OTHER_TOWN) if against else ((v,), (-1.0,), 1.0, W_TOWN), count)
+        for what, w in (("firms", W_OTHER_FIRM), ("handles", W_OTHER_HANDLE), ("phones", W_OTHER_PHONE)):
+            if x[what] and y[what]:
+                self._add(((v,), (1.0,), 0.0, w), count)
+        return against or bool(x["firms"] and y["firms"])
+
+    def joined(self, y: list[float]) -> list[tuple[dict, int, float]]:
+        """(kind, smallest component, confidence) of each kind whose components are joined.
+
+        A component that fits two excluding ones equally is joined to neither, else to the better.
+        """
+        drop = set()
+        for one, two, apart in self.rivals:
+            if y[apart] <= MATCH < min(y[one], y[two]):
+                drop |= {a for a, b in ((one, two), (two, one)) if y[b] >= y[a] - TIE}
+        root, sure = list(range(len(self.kinds))), {}
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        def every(i: int) -> list[int]:
+            return [by[self.group[i][2]] for by in self.labels[self.group[i][0]]] if i in self.group else [i]
+
+        for v, (i, j) in enumerate(self.pairs):
+            if y[v] <= MATCH or v in drop:
+                continue
+            same_town = i in self.group and j in self.group and self.group[i][:2] == self.group[j][:2]
+            for together in zip(every(i), every(j)) if same_town else [every(i) + every(j)]:
+                for m in together:
+                    root[find(m)] = find(together[0])
+                    sure[m] = max(sure.get(m, 0.0), y[v])
+        least: dict[int, int] = {}
+        for m in sure:
+            least[find(m)] = min(least.get(find(m), self.kinds[m]["comp"]), self.kinds[m]["comp"])
+        return [(self.kinds[m], least[find(m)], c) for m, c in sure.items()]
 
 
 def ground(nodes: list) -> tuple[list[tuple], list[tuple[tuple[int, ...], tuple[float, ...], float, float]]]:
-    """Variables (pairs of components) of one name, and its potentials.
+    """Variables (pairs of components) of one name, and its potentials, each component by itself.
 
     A potential (variables, coefficients, constant, weight) costs weight * max(0, sum + constant)²;
     squared hinges let rules that disagree meet between 0 and 1.
     """
     order = sorted(nodes, key=lambda x: x["comp"])
-    pairs = list(combinations(range(len(order)), 2))
-    at = {p: i for i, p in enumerate(pairs)}
-    pots = []
-    excluded = set()
-    for (i, j), v in at.items():
-        x, y = order[i], order[j]
-        pots.append(((v,), (-1.0,), 1.0, W_NAME))
-        tx, ty = set(x["towns"]), set(y["towns"])
-        if tx and ty:
-            pots.append(((v,), (-1.0,), 1.0, W_TOWN) if tx & ty else ((v,), (1.0,), 0.0, W_OTHER_TOWN))
-        against = bool(tx and ty and not tx & ty)
-        if x["firms"] and y["firms"]:
-            pots.append(((v,), (1.0,), 0.0, W_OTHER_FIRM))
-            against = True
-        for what, w in (("handles", W_OTHER_HANDLE), ("phones", W_OTHER_PHONE)):
-            if x[what] and y[what]:
-                pots.append(((v,), (1.0,), 0.0, w))
-        if against:
-            excluded.add((i, j))
-    for i, j, k in combinations(range(len(order)), 3):
-        a, b, c = at[i, j], at[j, k], at[i, k]
-        for one, two, third in ((a, b, c), (a, c, b), (b, c, a)):
-            pots.append(((one, two, third), (1.0, 1.0, -1.0), -1.0, W_TRANSITIVE))
-        for (p, q), (one, two) in (((i, k), (a, b)), ((j, k), (a, c)), ((i, j), (b, c))):
-            if (p, q) in excluded:
-                pots.append(((one, two), (1.0, 1.0), -1.0, W_EXCLUSIVE))
-    return [(order[j]["comp"], order[i]["comp"]) for i, j in pairs], pots
-
-
-def admm(n_vars: int, pots: list[tuple[tuple[int, ...], tuple[float, ...], float, float]], rounds: int = ROUNDS, rho: float = RHO) -> np.ndarray:
-    """Minimise the potentials' sum over [0, 1]^n by consensus ADMM, all potentials at once."""
+    net = Network([{**{c: x[c] for c in ("comp", "towns", "firms", "phones", "handles")}, "n": 1} for x in order], alike=False)
+    net.add(combinations(range(len(order)), 3))
+    return [(order[j]["comp"], order[i]["comp"]) for i, j in net.pairs], net.pots
+
+
+def admm(n_vars: int, pots: list[tuple[tuple[int, ...], tuple[float, ...], float, float]], rounds: int = ROUNDS, rho: float = RHO, counts: list[float] | None = None, ease: list[float] | None = None) -> np.ndarray:
+    """Minimise the potentials' sum over [0, 1]^n by consensus ADMM, all potentials at once.
+
+    ``counts`` says how often each potential occurs, ``ease`` scales its penalty ``rho``, which
+    changes the way to the minimum only.
+    """
     if not n_vars:
         return np.zeros(0)
     width = max((len(v) for v, *_ in pots), default=1)
@@ -201,7 +334,9 @@ def admm(n_vars: int, pots: list[tuple[tuple[int, ...], tuple[float, ...], float
         coef[r, : len(c)] = c
     const, weight = np.array([p[2] for p in pots]), np.array([p[3] for p in pots])
     norm = (coef**2).sum(axis=1)
-    copies = np.bincount(var.ravel(), minlength=n_vars + 1).astype(float)
+    rho = np.full(len(pots), rho) * (1.0 if ease is None else np.asarray(ease, float))
+    share = np.repeat(rho * (1.0 if counts is None else np.asarray(counts, float)), width)
+    copies = np.bincount(var.ravel(), share, minlength=n_vars + 1)
     copies[copies == 0] = 1
     x = np.full(n_vars + 1, 0.5)
     dual = np.zeros_like(coef)
@@ -210,46 +345,37 @@ def admm(n_vars: int, pots: list[tuple[tuple[int, ...], tuple[float, ...], float
         value = (coef * v).sum(axis=1) + const
         step = 2 * weight * np.maximum(value, 0) / (rho + 2 * weight * norm)  # closed form of a squared hinge
         local = v - step[:, None] * coef
-        total = np.bincount(var.ravel(), (local + dual).ravel(), minlength=n_vars + 1)
+        total = np.bincount(var.ravel(), share * (local + dual).ravel(), minlength=n_vars + 1)
         new = np.clip(total / copies, 0.0, 1.0)
         dual += local - new[var]
-        if np.abs(new - x)[:n_vars].max() < 1e-4:
+        if np.abs(new - x)[:n_vars].max() < 1e-6:
             x = new
             break
         x = new
     return x[:n_vars]
 
 
-def _solve(groups: list) -> pd.DataFrame:
-    """Ground and solve the names of a batch together; join what is likelier one person than not."""
-    variables: list[tuple[int, int]] = []
-    pots: list = []
-    spans: list[tuple[int, int]] = []
-    for nodes in groups:
-        vs, ps = ground(list(nodes))
-        base = len(variables)
-        variables += vs
-        spans.append((base, len(variables)))
-        pots += [(tuple(base + v for v in p[0]), *p[1:]) for p in ps]
-    y = admm(len(variables), pots)
-    rows = []
-    for lo, hi in spans:
-        root: dict[int, int] = {}
-        sure: dict[int, float] = {}
-
-        def find(c: int, root=root) -> int:
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
-
-        for (a, b), value in zip(variables[lo:hi], y[lo:hi].tolist()):
-            if value > MATCH:
-                x, z = sorted((find(a), find(b)))
-                root[z] = root[x] = x
-                for c in (a, b):
-                    sure[c] = max(sure.get(c, 0.0), value)
-        rows += [(c, find(c), v) for c, v in sure.items()]
-    return pd.DataFrame(rows, columns=["comp", "person", "confidence"]).astype({"comp": "int64", "person": "int64", "confidence": "float64"})
+def _solve(names: list[str], groups: list) -> pd.DataFrame:
+    """Solve the names of a batch together; join what is likelier one person than not."""
+    nets = [Network(list(g)) for g in groups]
+    values: list = [None] * len(nets)
+    work = list(range(len(nets)))
+    while work:
+        pots, counts, ease, ends = [], [], [], [0]
+        for net in (nets[w] for w in work):
+            pots += [(tuple(ends[-1] + v for v in p[0]), *p[1:]) for p in net.pots]
+            counts += [float(c) for c in net.counts]
+            ease += [1.0 if len(p[0]) == 1 else 1 / max(1, net.size - 2) for p in net.pots]  # a pair is in size - 2 triples
+            ends.append(ends[-1] + len(net.pairs))
+        y = admm(ends[-1], pots, counts=counts, ease=ease)
+        for w, lo, hi in zip(work, ends, ends[1:]):
+            values[w] = y[lo:hi]
+        work = [w for w in work if nets[w].add(nets[w].broken(values[w]))]
+    rows = [
+        (who, list(x["towns"]), x["firms"], x["phones"], x["handles"], person, sure)
+        for who, net, y in zip(names, nets, values) for x, person, sure in net.joined(y.tolist())
+    ]
+    return pd.DataFrame(rows, columns=["who", "towns", "firms", "phones", "handles", "person", "confidence"]).astype({"firms": "int32", "phones": "int32", "handles": "int32", "person": "int64", "confidence": "float64"})
 
 
 def link_people(sheet: DataFrame, hosts: DataFrame, profiles: DataFrame) -> DataFrame:
