@@ -153,3 +153,12 @@ def test_large_names_follow_the_same_rule(spark):
         pass
     assert len(net.pairs) < len(pairs) and sum(map(net._count, net.pairs)) == len(pairs)
     assert abs(y[net.at[0, 1]] - each[1, 0]) < 2e-3 and abs(y[net.at[5, 5]] - each[6, 5]) < 2e-3 and abs(y[net.at[0, 5]] - each[5, 0]) < 2e-3
+
+
+def linked(spark, names):
+    return {tuple(r) for r in linked_names(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+
+
+def test_initials_with_many_meanings(spark):
+    names = ["James Stone", "Joseph Stone", "Jonathan Stone", "Johannes Stone", "J. Stone", "Stone, J."]
+    assert linked(spark, names) == {tuple(sorted((a, b))) for a in names[4:] for b in names if a != b}

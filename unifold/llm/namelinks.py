@@ -29,7 +29,6 @@ RADIUS = 2  # slips; a swap of neighbours is one slip and two Levenshtein edits
 BAND = 2
 LEARN_SHARE = 5e-4
 LEARN_PARTNERS = 20
-MAX_MEANINGS = 2
 
 
 def learn_given_names(names: DataFrame, share: float = LEARN_SHARE, partners: int = LEARN_PARTNERS) -> list[str]:
@@ -132,12 +131,12 @@ def family_roots(read: DataFrame) -> DataFrame:
     return links.withColumnRenamed("parent", "root")
 
 
-def name_clusters(names: DataFrame, givens: GivenNames | None = None, max_meanings: int = MAX_MEANINGS) -> DataFrame:
+def name_clusters(names: DataFrame, givens: GivenNames | None = None) -> DataFrame:
     """(name, pivot, root): the persons' names each string may be a spelling of.
 
     ``names`` has a column ``name`` of distinct strings. A string with only an initial counts as
-    a spelling of the full names in its family with that initial if there are at most
-    ``max_meanings``; where there is none it goes with equal initials.
+    a spelling of every full name in its family with that initial, so equal initials always go
+    together; where there is none it goes with equal initials only.
     """
     givens = givens or GivenNames(learn_given_names(names))
     read = cut_lineage(read_names(names, givens))
@@ -146,9 +145,8 @@ def name_clusters(names: DataFrame, givens: GivenNames | None = None, max_meanin
     persons = full.select("pivot", "root").distinct()
     short = member.where("initial_only")
     meant = short.join(persons, ["pivot", "root"]).distinct()
-    number = meant.groupBy("name").agg(F.count(F.lit(1)).alias("k"))
-    resolved = meant.join(number.where(F.col("k") <= max_meanings), "name").select("name", "pivot", "root")
-    alone = short.where(F.startswith("pivot", F.lit("i:"))).join(number, "name", "left_anti").select("name", "pivot", "root").distinct()
+    resolved = meant.select("name", "pivot", "root")
+    alone = short.where(F.startswith("pivot", F.lit("i:"))).join(resolved.select("name").distinct(), "name", "left_anti").select("name", "pivot", "root").distinct()
     return full.union(resolved).union(alone)
 
 
