@@ -125,3 +125,13 @@ def test_fusion_discounts_copies(spark):
     good = sum(x.value == f"right {x.group_no}" for x in got)
     assert len(got) == 400 and good > 340 and all(0 < x.posterior <= 1 for x in got)
     assert fused_survivors(df.limit(0)).count() == 0
+
+
+def test_fusion_keeps_every_value_and_source(spark):
+    import datetime as dt
+
+    claims = [(1, i, "full_name", "Ada Stone", "resume", dt.datetime(2025, 1, 1)) for i in range(49)] + [(1, 99, "full_name", "Ida Stone", "resume", dt.datetime(2025, 1, 2))]
+    claims += [(2, 200, "full_name", "Ben Hill", "partner_feed", None), (2, 201, "full_name", "Ben Hill", "legacy_import", None), (2, 202, "full_name", "Bob Hall", "unheard", None)]
+    df = spark.createDataFrame(claims, "group_no bigint, record_no bigint, field_name string, value string, source string, updated_at timestamp")
+    got = {r.group_no: (r.value, r.support) for r in fused_survivors(df).collect()}
+    assert got == {1: ("Ada Stone", 1), 2: ("Ben Hill", 2)}

@@ -77,25 +77,27 @@ def _source_map(values: dict[str, float], default: float) -> tuple[Column, Colum
 def fused_survivors(candidates: DataFrame, rounds: int = 4, copy_rate: float = 0.8, copy_prior: float = 0.1, false_values: int = 20) -> DataFrame:
     """Bayesian fusion with copy detection: (group_no, field_name, value, record_no, posterior, support).
 
-    A source claims one value per group and field, the value of its latest record; values are
-    compared in lower case with white space squeezed. Sources outside the trust table count as
-    one source, so there are at most seven claims per group and field whatever the group's size,
-    and what comes to the driver is one row per source or pair of sources and field. ``support``
+    A source has one vote per group and field, split over all its values by their numbers of
+    records; values are compared in lower case with white space squeezed. Every source name is a
+    source of its own, records without one count as one more source. Records are added up to one
+    row per source and value, and what comes to the driver is one row per source or pair of
+    sources that meet, and field. ``support``
     is the number of claiming sources, ``record_no`` the latest record with the surviving value.
-    Ties in the posterior go to the alphabetically first value. ``copy_rate`` is the share of its
+    Ties in the posterior go to the latest value,
+    then to the alphabetically first. ``copy_rate`` is the share of its
     values that a copier copies, ``copy_prior`` the prior probability that of two sources one
     copies, ``false_values`` the number of false values per object.
     """
     key = F.lower(squeeze(F.col("value")))
-    known = F.when(F.col("source").isin(list(TRUST_WEIGHTS)), F.col("source")).otherwise(F.lit(OTHER_SOURCE))
     newest = F.struct(F.col("updated_at").isNotNull(), "updated_at", -F.col("record_no"))
     claims = cut_lineage(
-        candidates.select("group_no", "field_name", "value", "record_no", "updated_at", known.alias("source"), key.alias("v"))
-        .groupBy("group_no", "field_name", "source")
-        .agg(F.max_by(F.struct("v", "value", "record_no", F.col("updated_at").alias("at")), newest).alias("c"))
-        .select("group_no", "field_name", "source", "c.*")
+        candidates.select("group_no", "field_name", "value", "record_no", "updated_at", F.coalesce("source", F.lit(OTHER_SOURCE)).alias("source"), key.alias("v"))
+        .groupBy("group_no", "field_name", "source", "v")
+        .agg(F.max_by(F.struct("value", "record_no", F.col("updated_at").alias("at")), newest).alias("c"), F.count(F.lit(1)).alias("n"))
+        .withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("group_no", "field_name", "source")))
+        .select("group_no", "field_name", "source", "v", "c.*", "share")
     )
-    accuracy = {(f.field_name, s): w for f in claims.select("field_name").distinct().collect() for s, w in [*TRUST_WEIGHTS.items(), (OTHER_SOURCE, DEFAULT_TRUST)]}
+    accuracy = {(r.field_name, r.source): TRUST_WEIGHTS.get(r.source, DEFAULT_TRUST) for r in claims.select("field_name", "source").distinct().collect()}
     depends: dict[str, float] = {}
     scored = None
     for step in range(rounds):
@@ -104,11 +106,11 @@ def fused_survivors(candidates: DataFrame, rounds: int = 4, copy_rate: float = 0
         if step == rounds - 1:
             break
         if step:  # copies must be known before votes may say how accurate a source is
-            means = scored.groupBy("field_name", "source").agg(F.avg("posterior").alias("a")).collect()
+            means = scored.groupBy("field_name", "source").agg((F.sum(F.col("posterior") * F.col("share")) / F.sum("share")).alias("a")).collect()
             accuracy |= {(r.field_name, r.source): min(0.99, max(0.05, r.a)) for r in means}
         depends = _dependence(scored, accuracy, copy_rate, copy_prior, false_values)
-    best = scored.groupBy("group_no", "field_name", "v", "posterior").agg(F.count(F.lit(1)).alias("support"), F.max_by(F.struct("value", "record_no"), F.struct(F.col("at").isNotNull(), "at", -F.col("record_no"))).alias("r"))
-    order = Window.partitionBy("group_no", "field_name").orderBy(F.desc("posterior"), "v")
+    best = scored.groupBy("group_no", "field_name", "v", "posterior").agg(F.count(F.lit(1)).alias("support"), F.max_by(F.struct("value", "record_no"), F.struct(F.col("at").isNotNull(), "at", -F.col("record_no"))).alias("r"), F.max(F.struct(F.col("at").isNotNull(), "at")).alias("newest"))
+    order = Window.partitionBy("group_no", "field_name").orderBy(F.desc(F.round("posterior", 9)), F.desc("newest"), "v")
     return best.withColumn("k", F.row_number().over(order)).where("k = 1").select("group_no", "field_name", "r.value", "r.record_no", F.round("posterior", 6).alias("posterior"), "support")
 
 
@@ -116,7 +118,7 @@ def _votes(claims: DataFrame, accuracy: dict, depends: dict[str, float], copy_ra
     """Claims with the posterior of their value: softmax over the discounted votes of an object."""
     table, default = _source_map({f"{f}|{s}": a for (f, s), a in accuracy.items()}, DEFAULT_TRUST)
     a = F.coalesce(F.try_element_at(table, F.concat_ws("|", "field_name", "source")), default)
-    weighed = claims.withColumn("a", a).withColumn("vote", F.log(F.lit(float(false_values)) * F.col("a") / (1 - F.col("a"))))
+    weighed = claims.withColumn("a", a).withColumn("vote", F.col("share") * F.log(F.lit(float(false_values)) * F.col("a") / (1 - F.col("a"))))
     same = Window.partitionBy("group_no", "field_name", "v")
     if depends:
         pairs, zero = _source_map(depends, 0.0)
@@ -129,18 +131,22 @@ def _votes(claims: DataFrame, accuracy: dict, depends: dict[str, float], copy_ra
     total = F.sum(F.exp("score") / F.col("n_same")).over(whole)
     distinct = F.sum(1.0 / F.col("n_same")).over(whole)
     unseen = F.greatest(F.lit(false_values + 1.0) - distinct, F.lit(0.0))
-    return summed.withColumn("posterior", F.exp("score") / (total + unseen)).select("group_no", "field_name", "source", "v", "value", "record_no", "at", "posterior")
+    return summed.withColumn("posterior", F.exp("score") / (total + unseen)).select("group_no", "field_name", "source", "v", "value", "record_no", "at", "share", "posterior")
 
 
 def _dependence(scored: DataFrame, accuracy: dict, copy_rate: float, copy_prior: float, false_values: int) -> dict[str, float]:
     """Probability of copying for each pair of sources and field, from shared false values."""
-    left = scored.select("group_no", "field_name", F.col("source").alias("s1"), F.col("v").alias("v1"), F.col("posterior").alias("p1"))
-    right = scored.select("group_no", "field_name", F.col("source").alias("s2"), F.col("v").alias("v2"))
-    same = F.col("v1") == F.col("v2")
-    counts = (
-        left.join(right, ["group_no", "field_name"]).where("s1 < s2").groupBy("field_name", "s1", "s2")
-        .agg(F.sum(F.when(same, F.col("p1")).otherwise(0.0)).alias("t"), F.sum(F.when(same, 1 - F.col("p1")).otherwise(0.0)).alias("f"), F.sum(F.when(same, 0.0).otherwise(1.0)).alias("d"))
+    left = scored.select("group_no", "field_name", "v", F.col("source").alias("s1"), F.col("share").alias("w1"), F.col("posterior").alias("p"))
+    right = scored.select("group_no", "field_name", "v", F.col("source").alias("s2"), F.col("share").alias("w2"))
+    w = F.col("w1") * F.col("w2")
+    agreed = left.join(right, ["group_no", "field_name", "v"]).where("s1 < s2").groupBy("field_name", "s1", "s2").agg(F.sum(w * F.col("p")).alias("t"), F.sum(w * (1 - F.col("p"))).alias("f"))
+    present = scored.select("group_no", "field_name", "source").distinct()
+    met = (
+        present.withColumnRenamed("source", "s1").join(present.withColumnRenamed("source", "s2"), ["group_no", "field_name"]).where("s1 < s2")
+        .groupBy("field_name", "s1", "s2").agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = met.join(agreed, ["field_name", "s1", "s2"], "left").select("field_name", "s1", "s2", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("f", F.lit(0.0)).alias("f"), "n")
+    counts = counts.withColumn("d", F.greatest(F.col("n") - F.col("t") - F.col("f"), F.lit(0.0)))
     out = {}
     for r in counts.collect():
         a1, a2 = accuracy[r.field_name, r.s1], accuracy[r.field_name, r.s2]
