@@ -162,3 +162,10 @@ def linked(spark, names):
 def test_initials_with_many_meanings(spark):
     names = ["James Stone", "Joseph Stone", "Jonathan Stone", "Johannes Stone", "J. Stone", "Stone, J."]
     assert linked(spark, names) == {tuple(sorted((a, b))) for a in names[4:] for b in names if a != b}
+
+
+def test_repeated_misspellings(spark):
+    right = ["Robert Schwarzenberger", "Schwarzenberger, Robert", "Bob Schwarzenberger"]
+    wrong = ["Robert Schwarzenbregre", "Schwarzenbregre, Robert"]
+    every = right + wrong
+    assert linked(spark, every) == {(a, b) for a in every for b in every if a < b}

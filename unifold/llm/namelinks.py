@@ -93,7 +93,8 @@ def family_roots(read: DataFrame) -> DataFrame:
     """(pivot, family, root): the commonest spelling of each family name within its pivot.
 
     A family name is a spelling of another, commoner one (by the number of names that have it)
-    within one slip, or within two if it is long and stands in a single name.
+    within one slip, or within two if it is long. Beyond its first name a spelling needs twice
+    as many names of the other for each of its own, at any size.
     """
     counts = read.select("name", "family").distinct().groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     entries = read.select("pivot", "family").distinct().join(counts, "family")
@@ -115,11 +116,11 @@ def family_roots(read: DataFrame) -> DataFrame:
             if plain[without_umlauts(own)] != own:
                 best = (0, 0, 0.0, plain[without_umlauts(own)])
             else:
-                # Commoner spellings stand before; an own one in more than two names needs one twice as common.
-                k = i if n[i] <= 2 else int(np.searchsorted(-n, -2 * n[i], side="right"))
+                # Commoner spellings stand before.
+                k = min(i, int(np.searchsorted(-n, -2 * (n[i] - 1), side="right")))
                 for j in np.flatnonzero(distances(own, codes[:, :k], lens[:k]) <= 2 * RADIUS) if k else ():
                     slips, cost = typing_cost(own, families[j])
-                    if slips == 1 or (slips == 2 and len(own) >= 8 and n[i] == 1):
+                    if slips == 1 or (slips == 2 and len(own) >= 8):
                         best = min(best, (slips, -int(n[j]), cost, families[j]))
             out.append((pdf["pivot"].iat[i], own, best[3]))
         return pd.DataFrame(out, columns=["pivot", "family", "parent"])
