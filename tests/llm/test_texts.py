@@ -148,6 +148,20 @@ def test_leaks_equal_brute_force(spark):
     assert find_leaks(dd.limit(0), ii).count() == 0 and find_leaks(dd, ii.limit(0)).count() == 0
 
 
+def test_exchanged_words_of_any_length(spark):
+    """A long word in the place of a short one moves the rest to other diagonals."""
+    r = random.Random(7)
+    items, docs = [], []
+    for i in range(210):
+        w = [f"{r.choice('abcdefghij')}{r.randrange(10**5)}" for _ in range(20)]
+        items.append((i, " ".join(w)))
+        for k in r.sample(range(20), 2):
+            w[k] = "z" * (1, 8, 20, 40, 60, 90, 900)[i % 7]
+        docs.append((i, "lead in " + " ".join(w) + " way out"))
+    dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(x) for x in find_leaks(dd, ii).collect()} == {(i, i) for i in range(210)}
+
+
 def test_divided_words_and_long_texts(spark):
     r = random.Random(4)
     w = passage(r, 30)

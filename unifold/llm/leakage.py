@@ -5,11 +5,18 @@ item's order, of which at most one in ``one_in`` is exchanged for another word.
 
 Filter: of letters and digits only, in lower case, item and document share character q-grams. Of
 a passage that qualifies one half qualifies too while it has twice ``min_words`` or more, so
-passages of ``min_words`` to twice that are looked for. Each exchanged word of n characters
-destroys at most n + q - 1 of a passage's q-grams (the q-gram lemma), which bounds from below
-what an item's passages keep. Shared q-grams are counted by overlapping bands of diagonals and
-overlapping blocks of the item; only regions that reach the bound go on. Verification: the words
-of the region are aligned with the item's along the diagonals of the band.
+passages of ``min_words`` to twice that are looked for. Two bounds hold for each of them, of
+whatever length the exchanged words are:
+
+* each exchanged word of n characters destroys at most n + q - 1 of the passage's q-grams (the
+  q-gram lemma). What is left is counted by overlapping blocks of the item and of the document's
+  words on all diagonals, since a word exchanged for a longer or shorter one moves all that
+  follows to another diagonal;
+* between exchanged words the passage keeps its diagonal, so the q-grams of its longest unbroken
+  run stand together in one of the overlapping bands of diagonals.
+
+Only regions that reach both go on. Verification: the document's words around the band, as far
+as a passage may reach, are aligned with the item's, diagonal by diagonal.
 
 The corpus is read once and never shuffled. The items are a stated query set: they go to the
 executors in blocks whose size is checked, so any number of them can be searched.
@@ -30,7 +37,6 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 4_000_000
 CHUNK_CHARS = 1 << 20
 BAND = 64
-SLACK = 400
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|&[A-Za-z]{2,8};|&#\d{1,6};", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _BITS = 22
@@ -71,7 +77,8 @@ class Index:
     min_words: int
     one_in: int
     q: int
-    least: np.ndarray  # by item, shift and block: shared q-grams a region must have
+    least: np.ndarray  # by item, shift and block: q-grams a passage there shares, at least
+    unbroken: np.ndarray  # by item: q-grams of a passage's longest unbroken run, at least
     stretch: int  # most characters of a passage to look for; a block of an item is twice that
     ids: list[int]
     words: list[list[str]]
@@ -90,11 +97,11 @@ def build_index(items: list[tuple[int, str]], min_words: int, one_in: int, large
     run = min(-(-(n - n // one_in) // (n // one_in + 1)) for n in sizes)  # words in the longest unbroken run, at least
     spans = [sum(map(len, w[p : p + run])) for _, w in kept for p in range(len(w) - run + 1)]
     q = max(1, min([largest_q, *spans]))
-    bounds, stretch = [], 1
+    bounds, stretch, unbroken = [], 1, []
     for i, (_, w) in enumerate(kept):
         length = np.array([len(x) for x in w])
         ends = np.concatenate([[0], np.cumsum(length)])
-        unbroken = int(min(ends[run:] - ends[:-run])) - q + 1
+        unbroken.append(int(min(ends[run:] - ends[:-run])) - q + 1)
         whole = min(2 * min_words - 1, len(w))
         stretch = max(stretch, int((ends[whole:] - ends[:-whole]).max()))
         for n in sizes:
@@ -103,7 +110,7 @@ def build_index(items: list[tuple[int, str]], min_words: int, one_in: int, large
             m = n // one_in
             first, last = ends[:-n], ends[n:]
             lost = np.array([sum(sorted(length[p : p + n])[-m:]) for p in range(len(w) - n + 1)]) if m else 0
-            bounds.append((i, first, last, np.maximum(max(1, unbroken), last - first - q + 1 - lost - m * (q - 1))))
+            bounds.append((i, first, last, np.maximum(unbroken[-1], last - first - q + 1 - lost - m * (q - 1))))
     blocks = 1 + max((int(e.max()) for _, _, e, _ in bounds), default=0) // stretch
     least = np.full((len(kept), 2, blocks + 1), 1 << 30, np.int64)
     for i, first, last, bound in bounds:
@@ -112,7 +119,7 @@ def build_index(items: list[tuple[int, str]], min_words: int, one_in: int, large
             inside = (last - 1 + half * stretch) // (2 * stretch) == block
             np.minimum.at(least[i, half], block[inside], bound[inside])
     texts = ["".join(w) for _, w in kept]
-    grams = [_hashes(_codes(t), q) for t in texts]
+    grams = [_hashes(_codes(t)[0], q) for t in texts]
     h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(grams), dtype=np.int64), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
     place = np.concatenate([np.arange(len(g), dtype=np.int64) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -120,7 +127,7 @@ def build_index(items: list[tuple[int, str]], min_words: int, one_in: int, large
     uniq, starts = np.unique(h[order], return_index=True)
     bitmap = np.zeros(1 << _BITS, bool)
     bitmap[(uniq >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Index(min_words, one_in, q, least, stretch, [i for i, _ in kept], [w for _, w in kept], uniq, np.append(starts, len(h)), item[order], place[order], bitmap)
+    return Index(min_words, one_in, q, least, np.array(unbroken, np.int64), stretch, [i for i, _ in kept], [w for _, w in kept], uniq, np.append(starts, len(h)), item[order], place[order], bitmap)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +146,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _TABLES: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _codes(text: str) -> np.ndarray:
-    """Code points of the letters and digits, in lower case."""
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the letters and digits, in lower case, and the number of the word each is in."""
     global _TABLES
     if _TABLES is None:
         _TABLES = _tables()
     lower, alnum = _TABLES
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return lower[raw[alnum[raw]]]
+    raw = np.frombuffer(text.replace("\xad", "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = alnum[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    return lower[raw[inside]], np.cumsum(begins)[inside]
 
 
 def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
@@ -191,11 +201,12 @@ def _leaks(docs: list[tuple[int, str]], index: Index) -> list[tuple[int, int]]:
     if not docs or not len(index.hashes):
         return []
     gap = np.zeros(index.q, np.uint32)
-    parts, begin, at = [], [], 0
+    parts, places, begin, at = [], [], [], 0
     for _, text in docs:
-        codes = _codes(_TAG.sub(" ", text) if "<" in text or "&" in text else text)
+        codes, numbers = _codes(_TAG.sub(" ", text) if "<" in text or "&" in text else text)
         begin.append(at)
         parts += [codes, gap]
+        places += [numbers, gap]
         at += len(codes) + index.q
     h = _hashes(np.concatenate(parts), index.q)
     hit = np.flatnonzero(index.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -213,31 +224,57 @@ def _leaks(docs: list[tuple[int, str]], index: Index) -> list[tuple[int, int]]:
     posting = np.repeat(index.starts[slot] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(rows))
     item, place = index.item_of[posting], index.place_of[posting]
     doc = doc_of_hit[rows]
-    diagonal = hit[rows] - np.array(begin)[doc] - place
-    pair = doc.astype(np.int64) * len(index.ids) + item
-    found: dict[int, list[int]] = {}
+    at = hit[rows] - np.array(begin)[doc]
+    pairs, pair = np.unique(doc.astype(np.int64) * len(index.ids) + item, return_inverse=True)
+    lowest = index.least.min(axis=(1, 2))
+    some = np.flatnonzero((np.bincount(pair) >= lowest[pairs % len(index.ids)])[pair])
+    if not len(some):
+        return []
+    rows, place, at, pair = rows[some], place[some], at[some], pair[some]
+    # The lemma's bound, by block of the item and block of the document's words, on all diagonals.
+    reach = 4 * index.min_words  # words of a passage, each of them divided by a line's end
+    number = np.concatenate(places)[hit[rows]].astype(np.int64)
+    kept = np.zeros(len(rows), bool)
+    blocks, pages = index.least.shape[2], int(number.max()) // (2 * reach) + 2
+    for half in (0, 1):
+        block = (place + half * index.stretch) // (2 * index.stretch)
+        for lag in (0, 1):
+            cells, cell = np.unique((pair * blocks + block) * pages + (number + lag * reach) // (2 * reach), return_inverse=True)
+            once = np.sort(cell * (int(place.max()) + 1) + place)  # a place counts once
+            n = np.bincount(once[np.append(True, once[1:] != once[:-1])] // (int(place.max()) + 1), minlength=len(cells))
+            at_block = cells // pages
+            kept |= (n >= index.least[pairs[at_block // blocks] % len(index.ids), half, at_block % blocks])[cell]
+    some = np.flatnonzero(kept)
+    if not len(some):
+        return []
+    # The unbroken run's bound, by band of diagonals; a band is given by its hits in the document.
+    pair, at, diagonal = pair[some], at[some], (at - place)[some]
+    low = int(diagonal.min())
+    width = (int(diagonal.max()) - low) // BAND + 2
+    regions: dict[int, list[tuple[int, int]]] = {}
     for shift in (0, BAND // 2):
-        band = (diagonal + shift) // BAND + (1 << 21)
-        for half in (0, 1):
-            block = (place + half * index.stretch) // (2 * index.stretch)
-            keys, n = np.unique((((pair << 22) + band) << 12) + np.minimum(block, 4095), return_counts=True)
-            pairs = keys >> 34
-            enough = n >= index.least[pairs % len(index.ids), half, np.minimum(keys & 4095, index.least.shape[2] - 1)]
-            for p, d in zip(pairs[enough].tolist(), (((keys[enough] >> 12) & ((1 << 22) - 1)) - (1 << 21)) * BAND - shift, strict=True):
-                found.setdefault(p, []).append(int(d))
-    out, last, own, ends = [], -1, [], None
-    for p in sorted(found):
+        keys, inverse, n = np.unique(pair * width + (diagonal - low + shift) // BAND, return_inverse=True, return_counts=True)
+        first, last = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), -1)
+        np.minimum.at(first, inverse, at)
+        np.maximum.at(last, inverse, at)
+        enough = n >= index.unbroken[pairs[keys // width] % len(index.ids)]
+        for p, f, t in zip(pairs[keys[enough] // width].tolist(), first[enough].tolist(), last[enough].tolist(), strict=True):
+            regions.setdefault(p, []).append((f, t))
+    out, seen, own, ends = [], -1, [], None
+    for p in sorted(regions):
         d, i = divmod(p, len(index.ids))
-        if d != last:
-            last, own = d, words(docs[d][1])
+        if d != seen:
+            seen, own = d, words(docs[d][1])
             ends = np.cumsum([len(w) for w in own])
-        size = sum(map(len, index.words[i]))
-        for diag in sorted(set(found[p])):
-            # The item laid on these diagonals, with room for words that are written otherwise.
-            lo = int(np.searchsorted(ends, diag - SLACK)), int(np.searchsorted(ends, diag + BAND + size + SLACK)) + 1
-            if _aligned(own[max(0, lo[0]) : lo[1]], index.words[i], index.min_words, index.one_in):
-                out.append((docs[d][0], index.ids[i]))
-                break
+        spans: list[list[int]] = []
+        for f, t in sorted(regions[p]):
+            f, t = max(0, int(np.searchsorted(ends, f, side="right")) - reach), int(np.searchsorted(ends, t + index.q)) + reach
+            if spans and f <= spans[-1][1]:
+                spans[-1][1] = max(t, spans[-1][1])
+            else:
+                spans.append([f, t])
+        if any(_aligned(own[f:t], index.words[i], index.min_words, index.one_in) for f, t in spans):
+            out.append((docs[d][0], index.ids[i]))
     return out
 
 
