@@ -33,10 +33,10 @@ def test_confusions_are_cheap():
     assert misread_cost("circle", "circles") > 1 and misread_cost("modern", "modem") == 0.4
 
 
-def scanned(spark, texts):
+def scanned(spark, texts, **more):
     clean = ["the modern platform has information services for clients in the front-end team and information for services"] * 40
     df = spark.createDataFrame([(i, t, "clash", i) for i, t in enumerate(texts + clean)], "n int, text string, damage string, repaired int")
-    return {r.n: r for r in inspect_texts(df, min_share=1e-4).where(f"n < {len(texts)}").collect()}
+    return {r.n: r for r in inspect_texts(df, **more).where(f"n < {len(texts)}").collect()}
 
 
 def test_damage_and_repair(spark):
@@ -51,6 +51,50 @@ def test_damage_and_repair(spark):
         assert got[i].damage == [] and got[i].repaired == texts[i]
 
 
+def test_candidates_are_complete(spark):
+    """Every frequent word within the cost limit is found, however its pieces lie."""
+    from unifold.llm.scanned import CONFUSIONS, misreadings, total_cost
+
+    r = random.Random(3)
+    true = ["communication", "commitment", "minimum", "comment", "recommend", "platform", "illumination", "classical", "numbers", "inn", "dim"]
+    read = {"cornrnunication", "cornrnitrnent", "rninirnurn", "cornrnent", "recornrnend", "unknown"}
+    for w in true * 12:
+        for _ in range(r.choice((1, 2, 3))):
+            t, x = r.choice(CONFUSIONS)
+            if t in w:
+                at = r.choice([i for i in range(len(w)) if w.startswith(t, i)])
+                w = w[:at] + x + w[at + len(t) :]
+        read.add(w)
+    words = spark.createDataFrame([(w, 500) for w in true] + [(w, 1) for w in sorted(read - set(true))], "a string, n bigint")
+    got = {(x.word, x.original) for x in misreadings(words).collect()}
+    want = set()
+    for w in read - set(true):
+        costs = {t: total_cost(t, w) for t in true}
+        least = min(costs.values())
+        if least <= (0.41 if len(w) <= 4 else 0.81):
+            want |= {(w, t) for t, c in costs.items() if c < least + 0.01}
+    assert got - want == want - got == set() and ("rninirnurn", "minimum") in got and ("cornrnitrnent", "commitment") in got
+
+
+def test_running_headers_are_learned(spark):
+    heads = ["Annual Report 2023", "Internal use only"]
+    kinds = ["metal", "grain", "river", "lamp", "tower", "mast", "corner", "plan"]
+    texts = [f"we built the {a} line\n{heads[i % 2]}\nfor clients of the {b} house" for i, (a, b) in enumerate(zip(kinds, reversed(kinds)))]
+    texts += [f"we built the {a}\nMetal line and\nthe {b} house" for a, b in zip(kinds, reversed(kinds))] + ["the metal line and the house, the grain metal works", "and the river metal line"]
+    texts += [f"the {a} metal line" for a in kinds]
+    got = scanned(spark, texts)
+    assert all(got[i].damage == ["page_line"] and heads[i % 2] not in got[i].repaired for i in range(8))
+    assert all(got[i].damage == [] for i in range(8, len(texts)))
+
+
+def test_joined_repairs_equal_broadcast_ones(spark, small):
+    from unifold.llm.records import profile_texts
+
+    df = profile_texts(spark.read.parquet(f"{small}/output_default.parquet"))
+    a, b = ({tuple(map(str, r)) for r in inspect_texts(df, table_rows=n).collect()} for n in (300_000, 0))
+    assert a == b and any("wrong_char" in r[-1] for r in a)
+
+
 def test_scanned_empty_table(spark):
     assert inspect_texts(spark.createDataFrame([], "text string, n int")).count() == 0
 
