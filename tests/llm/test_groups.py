@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from unifold.llm.components import connected_components, edges_from_keys
 from unifold.llm.records import record_groups
 from unifold.llm.standins import is_stand_in, stand_in
-from unifold.llm.survivor import field_candidates, fused_survivors, ranked_survivors
+from unifold.llm.survivor import field_candidates, fused_survivors, stated_order
 
 
 def union_find(ids, edges):
@@ -94,7 +94,7 @@ def entry(field, source, method="source_trust_hierarchy"):
     return {"field": field, "source": source, "method": method}
 
 
-def test_ranked_survivors(spark):
+def test_stated_order(spark):
     import datetime as dt
 
     day = lambda n: dt.datetime(2025, 1, n)
@@ -105,9 +105,9 @@ def test_ranked_survivors(spark):
         {"record_no": 10, "full_name": "Alone"}, {"record_no": 20, "full_name": "-"}, {"record_no": 21, "full_name": None},
     )
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (10, 10), (20, 20), (21, 20)], "record_no bigint, group_no bigint")
-    got = {(r.group_no, r.field_name): r.record_no for r in ranked_survivors(field_candidates(df, groups)).collect()}
+    got = {(r.group_no, r.field_name): r.record_no for r in fused_survivors(field_candidates(df, groups), stated_order()).collect()}
     assert got == {(1, "full_name"): 1, (1, "headline"): 2}
-    assert ranked_survivors(field_candidates(df.limit(0), groups)).count() == 0
+    assert fused_survivors(field_candidates(df.limit(0), groups), stated_order()).count() == 0
 
 
 def test_fusion_discounts_copies(spark):

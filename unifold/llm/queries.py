@@ -15,7 +15,7 @@ from unifold.llm.pieces import split_documents
 from unifold.llm.records import free_values, profile_texts, record_groups
 from unifold.llm.refmap import map_values
 from unifold.llm.scanned import inspect_texts
-from unifold.llm.survivor import field_candidates, fused_survivors, ranked_survivors
+from unifold.llm.survivor import field_candidates, fused_survivors, stated_order
 from unifold.plans.oracle import handle_key, strip
 from unifold.runtime import read_table
 
@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each group and field the record whose value survives."""
     profiles = read_table(spark, sf_dir, "output_default")
-    return ranked_survivors(field_candidates(profiles, record_groups(profiles))).select("group_no", "field_name", "record_no")
+    return fused_survivors(field_candidates(profiles, record_groups(profiles)), stated_order()).select("group_no", "field_name", "record_no")
 
 
 def p2_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
