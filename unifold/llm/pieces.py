@@ -2,9 +2,11 @@
 
 A text is read as a tree: sections below their headings (``#`` marks, underlined and numbered
 headings, lines in capitals or ending in a colon), in these paragraphs, in these lines and list
-items, in these sentences, words and, where even a word is too large, tokens. Sibling subtrees
-are merged bottom-up as long as they fit the limit; only a node that is too large is opened.
-Pieces are slices of the text: without their overlaps they join to the whole text again.
+items, in these sentences, words and, where even a word is too large, tokens. Only a node that is
+too large is opened. From the bottom up sibling subtrees are merged to the limit: the children
+of an opened node, those left over from children that had to be opened themselves included, come
+to as few pieces as possible and among these to the most even ones. Pieces are slices of the
+text: without their overlaps they join to the whole text again.
 """
 
 from __future__ import annotations
@@ -77,50 +79,64 @@ def _cuts(text: str, begin: int, end: int, level: int) -> list[int]:
     return [begin + m.end() for m in pattern.finditer(part) if 0 < m.end() < len(part)]
 
 
-def split_core(text: str, limit: int, bounds) -> list[tuple[int, int]]:
+def split_core(text: str, limit: int, bounds, begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
     """Slices (begin, end) of at most ``limit`` tokens by the whole text's token boundaries."""
-    bounds = bounds.tolist()
-
-    def size(b: int, e: int) -> int:
-        return max(1, bisect_left(bounds, e) - bisect_right(bounds, b) + 1)
-
-    out: list[tuple[int, int]] = []
-
-    def pack(b: int, e: int, level: int) -> None:
-        """Cover a node that is too large with as few merged runs of its children as go in order."""
-        while level <= 11:
-            cuts = _cuts(text, b, e, level)
-            if cuts:
+    end = len(text) if end is None else end
+    if begin >= end:
+        return []
+    bounds = bounds.tolist() if hasattr(bounds, "tolist") else bounds
+    edges = _opened(text, begin, end, 1, limit, bounds) if _size(bounds, begin, end) > limit else [begin, end]
+    return list(zip(edges, edges[1:]))
+
+
+def _size(bounds: list[int], b: int, e: int) -> int:
+    return max(1, bisect_left(bounds, e) - bisect_right(bounds, b) + 1)
+
+
+def _opened(text: str, b: int, e: int, level: int, limit: int, bounds: list[int]) -> list[int]:
+    """Edges of the pieces of a node that is too large: its children's, merged."""
+    cuts: list[int] = []
+    while level <= 11 and not (cuts := _cuts(text, b, e, level)):
+        level += 1
+    if level > 11:
+        first, last = bisect_right(bounds, b), bisect_left(bounds, e)
+        n = -(-(last - first + 1) // limit)
+        inner = (bounds[first - 1 + (last - first + 1) * k // n] for k in range(1, n))
+        return [b, *sorted({x for x in inner if b < x < e}), e]
+    units = [b]
+    for x, y in zip([b, *cuts], [*cuts, e]):
+        units += _opened(text, x, y, level + 1, limit, bounds)[1:] if _size(bounds, x, y) > limit else [y]
+    return _merged(units, limit, bounds)
+
+
+def _merged(edges: list[int], limit: int, bounds: list[int]) -> list[int]:
+    """Edges that are left when neighbours are merged to as few and as even pieces as possible.
+
+    Where very many children fit one piece, those are first joined to runs of a share of it.
+    """
+    share = limit // 16
+    if len(edges) > 64 and _size(bounds, edges[0], edges[-1]) < (len(edges) - 1) * share:
+        runs = [edges[0]]
+        for x, y in zip(edges[1:], edges[2:]):
+            if _size(bounds, runs[-1], y) > share:
+                runs.append(x)
+        edges = [*runs, edges[-1]]
+    left, right = [bisect_left(bounds, x) for x in edges], [bisect_right(bounds, x) for x in edges]
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]  # pieces, sum of squares, place of the last piece's begin
+    for j in range(1, len(edges)):
+        found = None
+        for i in range(j - 1, -1, -1):
+            n = left[j] - right[i] + 1
+            if n > limit and i < j - 1:
                 break
-            level += 1
-        if level > 11:
-            while size(b, e) > limit:
-                at = bounds[min(bisect_right(bounds, b) - 1 + limit, len(bounds) - 1)]
-                at = at if at > b else min(e, b + 1)
-                out.append((b, at))
-                b = at
-            if b < e:
-                out.append((b, e))
-            return
-        run = b
-        edges = [b, *cuts, e]
-        for x, y in zip(edges, edges[1:]):
-            if size(run, y) <= limit:
-                continue
-            if x > run:
-                out.append((run, x))
-            if size(x, y) <= limit:
-                run = x
-            else:
-                pack(x, y, level + 1)
-                run = y
-        if run < e:
-            out.append((run, e))
-
-    if size(0, len(text)) <= limit:
-        return [(0, len(text))] if text else []
-    pack(0, len(text), 1)
-    return out
+            option = (best[i][0] + 1, best[i][1] + n * n, i)
+            found = option if found is None or option < found else found
+        best.append(found)
+    out, j = [edges[-1]], len(edges) - 1
+    while j:
+        j = best[j][2]
+        out.append(edges[j])
+    return out[::-1]
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str = DEFAULT_VOCABULARY) -> list[tuple[int, int, int, int]]:
@@ -128,28 +144,26 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
 
     Each piece but the first begins with the last ``overlap`` tokens before ``begin`` (all there
     are, if fewer). Every piece, its overlap included, has at most ``limit`` tokens when
-    tokenized by itself. Limit must exceed overlap by 8 or more.
+    tokenized by itself; a piece whose own tokens are more than the whole text's there is divided
+    again. Limit must exceed overlap by 8 or more.
     """
     if limit < overlap + 8:
         raise ValueError("the limit must exceed the overlap by 8 or more tokens")
-    if count(text, path) <= limit:
-        return [(0, 0, len(text), count(text, path))]
-    bounds = boundaries(text, path)
-    starts = bounds.tolist()
-    room = limit - overlap
-    while True:
-        out, fits = [], True
-        for b, e in split_core(text, room, bounds):
-            k = bisect_left(starts, b)
-            ob = min(b, starts[max(0, k - overlap)])
-            n = count(text[ob:e], path)
-            if n > limit:  # tokens at a slice's edges may differ from the whole text's
-                fits = False
-                break
+    starts = boundaries(text, path).tolist()
+    if len(starts) - 1 <= limit:
+        return [(0, 0, len(text), len(starts) - 1)]
+    out = []
+    todo = split_core(text, limit - overlap, starts)[::-1]
+    while todo:
+        b, e = todo.pop()
+        ob = min(b, starts[max(0, bisect_left(starts, b) - overlap)])
+        n = count(text[ob:e], path)
+        if n > limit and e - b > 1:
+            half = split_core(text, max(1, _size(starts, b, e) // 2), starts, b, e)
+            todo += (half if len(half) > 1 else [(b, (b + e) // 2), ((b + e) // 2, e)])[::-1]
+        else:
             out.append((b, ob, e, n))
-        if fits:
-            return out
-        room -= max(1, room // 50)
+    return out
 
 
 def split_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, path: str = DEFAULT_VOCABULARY) -> DataFrame:

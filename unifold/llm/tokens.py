@@ -31,14 +31,25 @@ def count(text: str | None, path: str = DEFAULT_VOCABULARY) -> int:
     return len(encoder(path).encode_ordinary(clean(text))) if text else 0
 
 
+@lru_cache(maxsize=4)
+def _sizes(path: str) -> np.ndarray:
+    """Bytes of each token of a vocabulary."""
+    enc = encoder(path)
+    out = np.zeros(enc.max_token_value + 1, np.int64)
+    for token in enc._mergeable_ranks.values():
+        out[token] = len(enc.decode_single_token_bytes(token))
+    return out
+
+
 def boundaries(text: str, path: str = DEFAULT_VOCABULARY) -> np.ndarray:
     """Where each token begins, as character offsets, and the text's length at the end.
 
     A token that begins inside a character counts as beginning after it.
     """
-    enc = encoder(path)
-    sizes = np.array([len(enc.decode_single_token_bytes(t)) for t in enc.encode_ordinary(text)], np.int64)
+    sizes = _sizes(path)[np.array(encoder(path).encode_ordinary(text), np.int64)]
     ends = np.concatenate([[0], np.cumsum(sizes)])
+    if len(text) == ends[-1]:  # a byte each
+        return ends
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     begins = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     return begins[ends]
