@@ -47,45 +47,50 @@ def heading_level(line: str, following: str) -> int:
         return 1 if following.strip()[0] == "=" else 2
     if (m := _NUMBERED.fullmatch(s)) and "." in m.group(1) and not s.endswith((".", ";", ",")):
         return 2 + m.group(1).count(".")
-    letters = [c for c in s if c.isalpha()]
-    if len(letters) >= 4 and len(s) <= 60 and all(c.isupper() for c in letters) and not s.endswith((".", ",", ";")):
-        return 3
+    if len(s) <= 60 and s.isupper() and not s.endswith((".", ",", ";")):
+        letters = [c for c in s if c.isalpha()]
+        if len(letters) >= 4 and all(c.isupper() for c in letters):
+            return 3
     if s.endswith((":", "：")) and len(s) <= 50 and not _ITEM.match(line) and len(s.split()) <= 6:
         return 6
     return 0
 
 
-def _cuts(text: str, begin: int, end: int, level: int) -> list[int]:
+def outline(text: str) -> tuple[list[int], list[int]]:
+    """Where each line begins, and its level: 1 to 7 a heading, 8 a paragraph's first line, 9 others."""
+    begins, levels, at, blank = [], [], 0, False
+    lines = text.splitlines(keepends=True)
+    for line, following in zip(lines, [*lines[1:], ""]):
+        begins.append(at)
+        levels.append(heading_level(line, following) or (8 if blank and line.strip() else 9))
+        blank = not line.strip()
+        at += len(line)
+    return begins, levels
+
+
+_WHITE = re.compile(r"\s+")
+
+
+def _cuts(text: str, begin: int, end: int, level: int, tree: tuple[list[int], list[int]]) -> list[int]:
     """Boundaries inside a slice at one level, without its ends.
 
     Levels 1 to 7 are headings, 8 paragraphs, 9 list items and lines, 10 sentences, 11 words.
     """
-    part = text[begin:end]
     if level <= 9:
-        cuts, at, blank = [], begin, False
-        lines = part.splitlines(keepends=True)
-        for k, line in enumerate(lines):
-            if at > begin:
-                if level <= 7:
-                    h = heading_level(line, lines[k + 1] if k + 1 < len(lines) else "")
-                    if 0 < h <= level:
-                        cuts.append(at)
-                elif level == 9 or (blank and line.strip()):
-                    cuts.append(at)
-            blank = not line.strip()
-            at += len(line)
-        return cuts
-    pattern = _SENTENCE if level == 10 else re.compile(r"\s+")
+        begins, levels = tree
+        return [begins[k] for k in range(bisect_right(begins, begin), bisect_left(begins, end)) if levels[k] <= level]
+    pattern = _SENTENCE if level == 10 else _WHITE
+    part = text[begin:end]
     return [begin + m.end() for m in pattern.finditer(part) if 0 < m.end() < len(part)]
 
 
-def split_core(text: str, limit: int, bounds, begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+def split_core(text: str, limit: int, bounds, begin: int = 0, end: int | None = None, tree: tuple | None = None) -> list[tuple[int, int]]:
     """Slices (begin, end) of at most ``limit`` tokens by the whole text's token boundaries."""
     end = len(text) if end is None else end
     if begin >= end:
         return []
     bounds = bounds.tolist() if hasattr(bounds, "tolist") else bounds
-    edges = _opened(text, begin, end, 1, limit, bounds) if _size(bounds, begin, end) > limit else [begin, end]
+    edges = _opened(text, begin, end, 1, limit, bounds, tree or outline(text)) if _size(bounds, begin, end) > limit else [begin, end]
     return list(zip(edges, edges[1:]))
 
 
@@ -93,10 +98,10 @@ def _size(bounds: list[int], b: int, e: int) -> int:
     return max(1, bisect_left(bounds, e) - bisect_right(bounds, b) + 1)
 
 
-def _opened(text: str, b: int, e: int, level: int, limit: int, bounds: list[int]) -> list[int]:
+def _opened(text: str, b: int, e: int, level: int, limit: int, bounds: list[int], tree: tuple) -> list[int]:
     """Edges of the pieces of a node that is too large: its children's, merged."""
     cuts: list[int] = []
-    while level <= 11 and not (cuts := _cuts(text, b, e, level)):
+    while level <= 11 and not (cuts := _cuts(text, b, e, level, tree)):
         level += 1
     if level > 11:
         first, last = bisect_right(bounds, b), bisect_left(bounds, e)
@@ -105,7 +110,7 @@ def _opened(text: str, b: int, e: int, level: int, limit: int, bounds: list[int]
         return [b, *sorted({x for x in inner if b < x < e}), e]
     units = [b]
     for x, y in zip([b, *cuts], [*cuts, e]):
-        units += _opened(text, x, y, level + 1, limit, bounds)[1:] if _size(bounds, x, y) > limit else [y]
+        units += _opened(text, x, y, level + 1, limit, bounds, tree)[1:] if _size(bounds, x, y) > limit else [y]
     return _merged(units, limit, bounds)
 
 
@@ -152,14 +157,14 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str
     starts = boundaries(text, path).tolist()
     if len(starts) - 1 <= limit:
         return [(0, 0, len(text), len(starts) - 1)]
-    out = []
-    todo = split_core(text, limit - overlap, starts)[::-1]
+    out, tree = [], outline(text)
+    todo = split_core(text, limit - overlap, starts, tree=tree)[::-1]
     while todo:
         b, e = todo.pop()
         ob = min(b, starts[max(0, bisect_left(starts, b) - overlap)])
         n = count(text[ob:e], path)
         if n > limit and e - b > 1:
-            half = split_core(text, max(1, _size(starts, b, e) // 2), starts, b, e)
+            half = split_core(text, max(1, _size(starts, b, e) // 2), starts, b, e, tree)
             todo += (half if len(half) > 1 else [(b, (b + e) // 2), ((b + e) // 2, e)])[::-1]
         else:
             out.append((b, ob, e, n))
