@@ -1,14 +1,17 @@
 """Variant spellings of one person's name, linked by metric-space partitioning.
 
-The pivots are the formal given names: those of a table of short forms and those learned from
-the corpus as words that stand beside very many different others. A name belongs to the cell of
-each pivot its given name may stand for: by being it, being a short form of it, or lying within
-one slip; a name with only an initial is replicated to every pivot with that initial. Within a
-pivot, cells are bands of the family name's length, which is its distance from the empty name;
-by the triangle inequality two names within ``RADIUS`` slips differ by at most ``RADIUS`` in
-length, so names near a band's boundary are replicated into the next. Inside each cell an exact
-radius join on the family names finds the rarer spellings' originals: the Levenshtein distance,
-at most twice the slips, over the whole cell, then the slips themselves.
+The pivots are given names. Formal ones come from a table of short forms, common ones are
+learned from the corpus as words that stand beside very many different others; every other given
+name is a pivot of its own. A name belongs to the cell of each pivot its given name may stand
+for: by being it, being a short form of it, or lying within one slip; a name with only an initial
+is replicated to the pivots with that initial. Which word of a name is the given one is open
+where neither is known, so such a name has both readings. Within a pivot, cells are bands of the
+family name's length, which is its distance from the empty name; by the triangle inequality two
+names within ``RADIUS`` slips differ by at most ``RADIUS`` in length, so names near a band's
+boundary are replicated into the next. Inside each cell an exact radius join on the family names
+finds the rarer spellings' originals: words that share too few letters aside, the Levenshtein
+distance, at most twice the slips, then the slips themselves. A cell of more than ``CELL`` names
+is shared by several tasks, each of which looks for the originals of a part of the names.
 """
 
 from __future__ import annotations
@@ -29,22 +32,24 @@ RADIUS = 2  # slips; a swap of neighbours is one slip and two Levenshtein edits
 BAND = 2
 LEARN_SHARE = 5e-4
 LEARN_PARTNERS = 20
+CELL = 20_000
 
 
 def learn_given_names(names: DataFrame, share: float = LEARN_SHARE, partners: int = LEARN_PARTNERS) -> list[str]:
     """Words in at least ``share`` of all names that stand beside ``partners`` different words.
 
-    ``names`` has a column ``name`` of distinct strings. A name has at most eight words that
-    count, so at most 8 / ``share`` words come to the driver. A rarer word one slip from a much
-    commoner one is its misspelling and isn't kept.
+    ``names`` has a column ``name`` of distinct strings. At most the mean number of words in a
+    name, doubled, over ``share`` words come to the driver. A rarer word one slip from a much
+    commoner one is its misspelling and isn't kept. Words that aren't learned are still pivots,
+    only not known ones.
     """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name in batch["name"]:
-                words = [t for p in segments(name) for t in p if len(t) > 1][:8]
-                rows += [(a, b) for a in words for b in words if a != b]
+                words = [t for p in segments(name) for t in p if len(t) > 1]
+                rows += [(a, b) for x, y in zip(words, words[1:]) for a, b in ((x, y), (y, x)) if a != b]
             yield pd.DataFrame(rows, columns=["a", "b"])
 
     total = names.count()
@@ -89,6 +94,71 @@ def read_names(names: DataFrame, givens: GivenNames) -> DataFrame:
     return names.mapInPandas(run, "name string, pivot string, family string, slips int, initial_only boolean")
 
 
+def _shortened(word: str) -> set[str]:
+    """The word without up to one letter, or two if it is long; words within as many slips share one."""
+    out = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+    if len(word) >= 8 - RADIUS:
+        out |= {w[:i] + w[i + 1 :] for w in list(out) for i in range(len(w))}
+    return out
+
+
+def _meet(left: DataFrame, right: DataFrame, word: str, keys: list[str]) -> DataFrame:
+    """Rows of both sides (which share no other column name) with equal ``keys`` and words that may be spellings of each other.
+
+    ``right`` has its word in ``other``. A shortened word determines all words it may come from
+    up to one or two letters, so no key is hot that isn't one word.
+    """
+    def explode(column: str, names: list[str]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(*r, k) for r in batch[names].itertuples(index=False, name=None) for k in _shortened(r[names.index(column)])]
+                yield pd.DataFrame(rows, columns=[*names, "_short"])
+
+        return run
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[_spelling(a, b) for a, b in zip(batch[word], batch["other"])]]
+
+    def opened(df: DataFrame, column: str) -> DataFrame:
+        return df.mapInPandas(explode(column, df.columns), f"{df.schema.simpleString()[7:-1]},_short string")
+
+    met = opened(left, word).join(opened(right, "other"), [*keys, "_short"]).drop("_short").distinct()
+    return met.mapInPandas(near, met.schema)
+
+
+def _spelling(a: str, b: str) -> bool:
+    slips, _ = typing_cost(a, b)
+    return slips <= 1 or (slips == 2 and len(a) >= 8)
+
+
+def with_rare_pivots(read: DataFrame) -> DataFrame:
+    """Readings, and those of names near a pivot that isn't a known given name.
+
+    A given name within one slip of one that at least as many names have (twice as many for each
+    beyond its first) is replicated to its pivot. An initial is replicated to the pivots with that
+    initial whose names have a family name within the radius.
+    """
+    unknown = read.where(F.startswith("pivot", F.lit("?")))
+    given = F.expr("substring(pivot, 2)")
+    counts = cut_lineage(unknown.groupBy("pivot").agg(F.countDistinct("name").alias("n")).select(given.alias("given"), "n"))
+    others = counts.select(F.col("given").alias("other"), F.col("n").alias("m"))
+    near = _meet(counts, others, "given", []).where((F.col("given") != F.col("other")) & (F.col("m") >= 2 * (F.col("n") - 1)) & ((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("given")))))
+    moved = unknown.withColumn("given", given).join(near.select("given", "other"), "given").select("name", F.concat(F.lit("?"), "other").alias("pivot"), "family", F.lit(1).alias("slips"), "initial_only")
+    initials = read.where(F.col("initial_only") & F.startswith("pivot", F.lit("i:"))).select("name", F.expr("substring(pivot, 3)").alias("initial"), "family")
+    rare = unknown.select("pivot", F.col("family").alias("other"), F.expr("substring(pivot, 2, 1)").alias("initial")).distinct()
+    meant = _meet(initials, rare, "family", ["initial"]).select("name", "pivot", "family", F.lit(0).alias("slips"), F.lit(True).alias("initial_only"))
+    return read.union(moved).union(meant).distinct()
+
+
+def _letters(word: str) -> int:
+    """A bit for each letter that occurs; one slip changes at most two of them."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) * 0x9E37 >> 4 & 63)
+    return bits
+
+
 def family_roots(read: DataFrame) -> DataFrame:
     """(pivot, family, root): the commonest spelling of each family name within its pivot.
 
@@ -100,17 +170,21 @@ def family_roots(read: DataFrame) -> DataFrame:
     entries = read.select("pivot", "family").distinct().join(counts, "family")
     size = F.length("family")
     reach = F.sequence(F.floor(F.greatest(size - RADIUS, F.lit(0)) / BAND), F.floor((size + RADIUS) / BAND))
-    cells = entries.withColumn("own", F.floor(size / BAND)).withColumn("band", F.explode(reach))
+    cells = cut_lineage(entries.withColumn("own", F.floor(size / BAND)).withColumn("band", F.explode(reach)))
+    large = cells.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CELL).select("pivot", "band", F.ceil(F.col("k") / CELL).alias("parts"))
+    spread = cells.join(large, ["pivot", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    spread = spread.withColumn("mine", F.pmod(F.xxhash64("family"), F.col("parts"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "family"], ascending=[False, True], ignore_index=True)
         families, n = pdf["family"].tolist(), pdf["n"].to_numpy()
         codes, lens = encode(families)
+        letters = np.array([_letters(f) for f in families], np.uint64)
         plain: dict[str, str] = {}
         for f in families:
             plain.setdefault(without_umlauts(f), f)
         out = []
-        for i in np.flatnonzero((pdf["own"] == pdf["band"]).to_numpy()):
+        for i in np.flatnonzero(((pdf["own"] == pdf["band"]) & (pdf["mine"] == pdf["part"])).to_numpy()):
             own = families[i]
             best = (9, 0, 0.0, own)
             if plain[without_umlauts(own)] != own:
@@ -118,14 +192,18 @@ def family_roots(read: DataFrame) -> DataFrame:
             else:
                 # Commoner spellings stand before.
                 k = min(i, int(np.searchsorted(-n, -2 * (n[i] - 1), side="right")))
-                for j in np.flatnonzero(distances(own, codes[:, :k], lens[:k]) <= 2 * RADIUS) if k else ():
+                slips_allowed = RADIUS if len(own) >= 8 else 1
+                close = np.flatnonzero((np.bitwise_count(letters[:k] ^ letters[i]) <= 2 * slips_allowed) & (np.abs(lens[:k] - len(own)) <= slips_allowed))
+                if len(close):
+                    close = close[distances(own, codes[:, close], lens[close]) <= 2 * slips_allowed]
+                for j in close.tolist():
                     slips, cost = typing_cost(own, families[j])
-                    if slips == 1 or (slips == 2 and len(own) >= 8):
+                    if slips <= slips_allowed:
                         best = min(best, (slips, -int(n[j]), cost, families[j]))
             out.append((pdf["pivot"].iat[i], own, best[3]))
         return pd.DataFrame(out, columns=["pivot", "family", "parent"])
 
-    links = cut_lineage(cells.groupBy("pivot", "band").applyInPandas(join, "pivot string, family string, parent string"))
+    links = cut_lineage(spread.groupBy("pivot", "band", "part").applyInPandas(join, "pivot string, family string, parent string"))
     for _ in range(2):
         up = links.select("pivot", F.col("family").alias("parent"), F.col("parent").alias("up"))
         links = links.join(up, ["pivot", "parent"], "left").select("pivot", "family", F.coalesce("up", "parent").alias("parent"))
@@ -140,7 +218,7 @@ def name_clusters(names: DataFrame, givens: GivenNames | None = None) -> DataFra
     together; where there is none it goes with equal initials only.
     """
     givens = givens or GivenNames(learn_given_names(names))
-    read = cut_lineage(read_names(names, givens))
+    read = cut_lineage(with_rare_pivots(cut_lineage(read_names(names, givens))))
     member = cut_lineage(read.join(family_roots(read), ["pivot", "family"]).select("name", "pivot", "root", "initial_only"))
     full = cut_lineage(_likeliest(member.where("not initial_only").select("name", "pivot", "root").distinct()))
     persons = full.select("pivot", "root").distinct()

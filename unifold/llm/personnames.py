@@ -12,19 +12,43 @@ from unifold.llm.standins import stand_in
 
 # Usual short and variant forms of given names.
 NICKNAMES = {
-    "aleksandra": "sasha sasza ola alex", "alexander": "alex sasha sasza xander sandy", "anselm": "selmo", "anthony": "tony antony", "aoife": "eefa",
-    "benjamin": "ben benny", "bogdan": "bodya", "birgit": "gitte britt", "chiara": "kia", "christopher": "chris kit topher", "cosmin": "cos",
-    "daniel": "dan danny dany", "darius": "dario", "deborah": "deb debbie debby", "dmitri": "dima mitya dmitry", "edward": "ed ted eddie ned teddy",
-    "ekaterina": "katya kate katerina", "elizabeth": "liz beth betty lizzie eliza libby", "fiona": "fi", "francisco": "paco pancho kiko", "frederick": "fred fritz freddie rick",
-    "gabriela": "gabi gaby", "giuseppe": "pino beppe peppe", "gwen": "gwendolyn", "henrietta": "etta hattie hetty harriet", "ilse": "ilsa", "isabella": "bella izzy isa",
-    "james": "jim jamie jimmy", "jiro": "", "johannes": "hans hannes jan", "jonathan": "jon jonny nathan", "joseph": "joe joey jo", "jurgen": "",
-    "katherine": "kate kathy katie kat kit", "kavya": "", "lawrence": "larry laurie", "leonardo": "leo leon nardo", "ludmila": "mila luda lyuda", "lukasz": "luka luke",
-    "magdalena": "magda lena maddie", "margaret": "maggie peggy meg greta margie", "matthew": "matt matty", "michael": "mike mick mickey micky", "mireille": "mimi",
-    "nadia": "nadya nadja", "nicholas": "nick nicky nico klaus", "oksana": "ksenia oksi", "oluwaseun": "seun", "patricia": "pat trish patty tricia", "quentin": "quin",
-    "rebecca": "becky becca", "richard": "rick dick rich ricky", "robert": "bob rob bobby robbie bert", "samantha": "sam sammy", "samuel": "sam sammy",
-    "stephanie": "steph steffi stevie", "theodore": "theo ted teddy", "thomas": "tom tommy", "umberto": "berto", "ursula": "uschi ulla", "valentina": "vale tina val",
-    "victoria": "vicky tori vic", "vikram": "vik vicky", "wilhelmina": "mina willa minnie billie", "william": "will bill billy liam willy", "xavier": "xavi",
-    "yevgenia": "zhenya genia evgenia", "yusuf": "yousef", "zachary": "zack zach", "zofia": "zosia sofia", "zoltan": "zoli",
+    "abigail": "abby gail", "agnieszka": "aga agnes", "alejandro": "alex jandro ale", "aleksandra": "sasha sasza ola alex",
+    "alexander": "alex sasha sasza xander sandy alec lex", "alexandra": "alex sandra sasha alexa lexi", "alfred": "alf fred alfie", "alice": "ali",
+    "allison": "ally ali allie", "amanda": "mandy", "amelia": "amy millie", "anastasia": "nastya stasia ana", "andrew": "andy drew",
+    "angela": "angie", "anna": "annie anya ania ann", "anselm": "selmo", "anthony": "tony antony", "antonio": "toni tonio nino", "aoife": "eefa",
+    "arthur": "art artie", "augustus": "gus august", "barbara": "barb babs basia bobbie", "beatrice": "bea trixie", "benedict": "ben",
+    "benjamin": "ben benny benji", "birgit": "gitte britt", "bogdan": "bodya", "bradley": "brad", "caroline": "carol carrie caro lina",
+    "catherine": "cathy cate cat kate katie kitty", "cecilia": "cece celia", "charles": "charlie chuck charley karl",
+    "charlotte": "charlie lottie lotte", "chiara": "kia", "christian": "chris", "christina": "chris tina christa", "christopher": "chris kit topher",
+    "cosmin": "cos", "cynthia": "cindy", "daniel": "dan danny dany", "darius": "dario", "david": "dave davy dafydd", "deborah": "deb debbie debby",
+    "diana": "di", "dmitri": "dima mitya dmitry", "dominic": "dom nick", "donald": "don donny", "dorothy": "dot dottie dolly",
+    "edward": "ed ted eddie ned teddy", "ekaterina": "katya kate katerina", "eleanor": "ellie nell nora lenora", "elena": "lena",
+    "elizabeth": "liz beth betty lizzie eliza libby lisa elsie", "emily": "em emmy", "enrique": "quique", "ernest": "ernie", "eugene": "gene",
+    "ferdinand": "ferdi", "fiona": "fi", "florence": "flo florrie", "frances": "fran frannie francie", "francesco": "franco checco cesco",
+    "francis": "frank fran", "francisco": "paco pancho kiko fran", "frederick": "fred fritz freddie rick freddy friedrich", "gabriel": "gabe",
+    "gabriela": "gabi gaby", "george": "georgie geordie", "gerard": "gerry gerd", "giovanni": "gianni vanni nino", "giuseppe": "pino beppe peppe",
+    "gregory": "greg", "gwen": "gwendolyn", "harold": "harry hal", "heinrich": "heinz heiner", "helena": "lena helen",
+    "henrietta": "etta hattie hetty harriet", "henry": "harry hank hal", "herbert": "bert herb", "ilse": "ilsa", "isabella": "bella izzy isa",
+    "ivan": "vanya", "jacob": "jake jakob", "jacqueline": "jackie", "james": "jim jamie jimmy", "janina": "nina jana",
+    "jeffrey": "jeff geoff geoffrey", "jennifer": "jen jenny", "jeremy": "jerry jez", "jessica": "jess jessie", "joanna": "jo asia joan",
+    "johannes": "hans hannes jan johann", "john": "jack johnny jon", "jonathan": "jon jonny nathan", "jose": "pepe", "joseph": "joe joey jo",
+    "josephine": "josie jo", "joshua": "josh", "judith": "judy", "julia": "julie jules", "katarzyna": "kasia",
+    "katherine": "kate kathy katie kat kit", "kenneth": "ken kenny", "kimberly": "kim", "lawrence": "larry laurie", "leonard": "leo len lenny",
+    "leonardo": "leo leon nardo", "lillian": "lily lil", "louis": "lou louie", "ludmila": "mila luda lyuda", "lukasz": "luka luke",
+    "madeleine": "maddie maddy lena", "magdalena": "magda lena maddie", "manuel": "manolo manu", "marcus": "marc mark",
+    "margaret": "maggie peggy meg greta margie marge rita", "maria": "mia mary marie", "martin": "marty", "matthew": "matt matty",
+    "maximilian": "max maxi", "melissa": "mel missy", "michael": "mike mick mickey micky", "mikhail": "misha", "mireille": "mimi",
+    "nadia": "nadya nadja", "natalia": "natasha nat talia", "nathaniel": "nate nat nathan", "nicholas": "nick nicky nico klaus",
+    "nicole": "nicky nikki", "nikolai": "kolya", "oksana": "ksenia oksi", "oliver": "ollie olly", "oluwaseun": "seun", "pamela": "pam",
+    "patricia": "pat trish patty tricia", "patrick": "pat paddy", "peter": "pete", "philip": "phil pip", "quentin": "quin", "raymond": "ray",
+    "rebecca": "becky becca", "reginald": "reg reggie", "richard": "rick dick rich ricky", "robert": "bob rob bobby robbie bert", "roberto": "beto",
+    "ronald": "ron ronnie", "rudolf": "rudi", "samantha": "sam sammy", "samuel": "sam sammy", "sebastian": "seb basti", "sergei": "seryozha serge",
+    "stephanie": "steph steffi stevie", "stephen": "steve steven stevie", "susan": "sue susie suzy", "tatiana": "tanya", "terence": "terry",
+    "teresa": "terri tess tessa", "theodore": "theo ted teddy", "thomas": "tom tommy", "timothy": "tim timmy", "umberto": "berto",
+    "ursula": "uschi ulla", "valentina": "vale tina val", "vanessa": "nessa", "veronica": "ronnie vera", "victor": "vic",
+    "victoria": "vicky tori vic", "vikram": "vik vicky", "vincent": "vince vinnie", "vladimir": "vova volodya", "walter": "walt wally",
+    "wilhelmina": "mina willa minnie billie", "william": "will bill billy liam willy", "xavier": "xavi", "yevgenia": "zhenya genia evgenia",
+    "yusuf": "yousef", "zachary": "zack zach", "zofia": "zosia sofia", "zoltan": "zoli",
 }
 # Words in names that belong to neither the given nor the family name.
 _TITLES = frozenset("mr mrs ms miss mx dr prof sir dame herr frau hr fr sra sr srta mme mlle ing dipl mag med jr jnr snr phd msc bsc ba ma mba md dds esq pe pmp cpa ii iii iv they them she her he his".split())
@@ -107,14 +131,14 @@ def readings(name: str | None, givens: GivenNames) -> list[Reading]:
     """All sensible readings of a name; none for stand-ins and single words.
 
     Initials stand for a given name only where no longer given name is there. If neither word is
-    a known given name, the name's first word (after a comma: the second part) is taken as one.
+    a known given name, each of them may be one.
     """
     if name is None or stand_in(name):
         return []
     parts = segments(name)
     every = [t for p in parts for t in p]
     words, initials = [t for t in every if len(t) > 1], [t for t in every if len(t) == 1]
-    if not words or len(words) > 8:
+    if not words:
         return []
     if len(words) == 1:
         return [Reading(f"i:{i}", 0, words[0], True) for i in initials[:1]]
@@ -127,5 +151,5 @@ def readings(name: str | None, givens: GivenNames) -> list[Reading]:
     best = min((s for _, _, ps in known for _, s in ps), default=None)
     if best is None:
         g, f = orders[0]
-        return [Reading(f"?{g}", 0, f), *([Reading(f"?{f}", 0, g)] if len(orders) > 1 else [])]
+        return [Reading(f"?{g}", 0, f), Reading(f"?{f}", 0, g)]
     return [Reading(p, s, f) for g, f, ps in known for p, s in ps if s == best]
