@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from unifold.llm.linkage import admm, firm_key, ground, link_people
-from unifold.llm.metric import BKTree, distances, encode, levenshtein, typing_cost
+from unifold.llm.metric import BKTree, distances, encode, levenshtein, pair_distances, typing_cost
 from unifold.llm.namelinks import linked_names
 from unifold.llm.personnames import GivenNames, readings
 from unifold.llm.refmap import Matcher, map_values, reference_entries
@@ -29,6 +29,15 @@ def test_batched_distances():
         assert distances(p, *encode(many)).tolist() == [plain(p, m) for m in many]
 
 
+def test_pairwise_distances():
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcé") for _ in range(n))
+    for lengths in (range(0, 14), range(0, 80)):
+        pairs = [(word(r.choice(lengths)), word(r.choice(lengths))) for _ in range(60)] + [("", ""), ("", "ab"), ("ab", "")]
+        assert pair_distances(*map(list, zip(*pairs))).tolist() == [plain(a, b) for a, b in pairs]
+    assert len(pair_distances([], [])) == 0
+
+
 def test_bk_tree_finds_all_within():
     r = random.Random(2)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 9)))

@@ -69,6 +69,31 @@ def _long_distances(pattern: str, codes: np.ndarray, lens: np.ndarray) -> np.nda
     return out
 
 
+def pair_distances(left: list[str], right: list[str]) -> np.ndarray:
+    """Levenshtein distance of each string to the one beside it, each pair in its own lane."""
+    if not left:
+        return np.zeros(0, np.int64)
+    a, m = encode(left)
+    b, n = encode(right)
+    if a.shape[0] > _WORD_BITS:
+        return np.array([levenshtein(x, y) for x, y in zip(left, right, strict=True)], np.int64)
+    one, top = np.uint64(1), np.maximum(m - 1, 0).astype(np.uint64)
+    pv, mv, score = np.full(len(left), ~np.uint64(0)), np.zeros(len(left), np.uint64), m.copy()
+    for j in range(b.shape[0]):
+        eq = np.zeros(len(left), np.uint64)
+        for i in range(a.shape[0]):
+            eq |= (a[i] == b[j]).astype(np.uint64) << np.uint64(i)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        score += np.where(j < n, ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64), 0)
+        ph = (ph << one) | one
+        pv = (mh << one) | ~(xv | ph)
+        mv = ph & xv
+    return np.where(m == 0, n, score)
+
+
 def levenshtein(a: str, b: str) -> int:
     """Distance of two strings."""
     return int(distances(a, *encode([b]))[0]) if a and b else max(len(a), len(b))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unifold.functions.text import strip
-from unifold.llm.metric import distances, encode, typing_cost
+from unifold.llm.metric import pair_distances, typing_cost
 from unifold.llm.personnames import GivenNames, readings, segments, without_umlauts
 from unifold.runtime import cut_lineage
 
@@ -33,6 +33,7 @@ BAND = 2
 LEARN_SHARE = 5e-4
 LEARN_PARTNERS = 20
 CELL = 20_000
+BLOCK = 2_000_000  # pairs of a cell that are looked at together
 
 
 def learn_given_names(names: DataFrame, share: float = LEARN_SHARE, partners: int = LEARN_PARTNERS) -> list[str]:
@@ -159,6 +160,62 @@ def _letters(word: str) -> int:
     return bits
 
 
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each run of rows with equal keys; runs may go on from batch to batch."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def joined() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+    for batch in batches:
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        if not len(batch):
+            continue
+        change = np.zeros(len(batch), bool)
+        for k in keys:
+            change[1:] |= columns[k][1:] != columns[k][:-1]
+            change[0] |= bool(held) and columns[k][0] != held[-1][k][-1]
+        at = 0
+        for to in [*np.flatnonzero(change).tolist(), len(batch)]:
+            if held and to > at and change[at]:
+                yield joined()
+                held = []
+            if to > at:
+                held.append({c: v[at:to] for c, v in columns.items()})
+            at = to
+    if held:
+        yield joined()
+
+
+def _parents(families: list[str], n: np.ndarray, own: np.ndarray) -> dict[str, str]:
+    """The original of each family name at ``own``, or itself; commoner ones stand before rarer ones."""
+    lens = np.array([len(f) for f in families], np.int64)
+    letters = np.array([_letters(f) for f in families], np.uint64)
+    allowed = np.where(lens >= 8, RADIUS, 1)
+    commoner = np.minimum(np.arange(len(n)), np.searchsorted(-n, -2 * (n - 1), side="right"))
+    plain: dict[str, str] = {}
+    for f in families:
+        plain.setdefault(without_umlauts(f), f)
+    parents = {families[i]: plain[without_umlauts(families[i])] for i in own.tolist()}
+    todo = np.array([i for i in own.tolist() if parents[families[i]] == families[i]], np.int64)
+    step = max(1, BLOCK // max(1, len(families)))
+    for at in range(0, len(todo), step):
+        rows = todo[at : at + step]
+        close = np.bitwise_count(letters[rows][:, None] ^ letters[None, :]) <= 2 * allowed[rows][:, None]
+        close &= np.abs(lens[rows][:, None] - lens[None, :]) <= allowed[rows][:, None]
+        close &= np.arange(len(families))[None, :] < commoner[rows][:, None]
+        i, j = np.nonzero(close)
+        i = rows[i]
+        near = pair_distances([families[k] for k in i.tolist()], [families[k] for k in j.tolist()]) <= 2 * allowed[i]
+        best: dict[str, tuple] = {}
+        for x, y in zip(i[near].tolist(), j[near].tolist()):
+            slips, cost = typing_cost(families[x], families[y])
+            if slips <= allowed[x]:
+                best[families[x]] = min(best.get(families[x], (9,)), (slips, -int(n[y]), cost, families[y]))
+        parents |= {x: b[3] for x, b in best.items()}
+    return parents
+
+
 def family_roots(read: DataFrame) -> DataFrame:
     """(pivot, family, root): the commonest spelling of each family name within its pivot.
 
@@ -171,39 +228,22 @@ def family_roots(read: DataFrame) -> DataFrame:
     size = F.length("family")
     reach = F.sequence(F.floor(F.greatest(size - RADIUS, F.lit(0)) / BAND), F.floor((size + RADIUS) / BAND))
     cells = cut_lineage(entries.withColumn("own", F.floor(size / BAND)).withColumn("band", F.explode(reach)))
-    large = cells.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CELL).select("pivot", "band", F.ceil(F.col("k") / CELL).alias("parts"))
-    spread = cells.join(large, ["pivot", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    size_of = cells.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("k"))
+    sized = cells.join(size_of, ["pivot", "band"])
+    alone = sized.where("k = 1 and own = band").select("pivot", "family", F.col("family").alias("parent"))
+    spread = sized.where("k > 1").withColumn("parts", F.ceil(F.col("k") / CELL)).drop("k")
     spread = spread.withColumn("mine", F.pmod(F.xxhash64("family"), F.col("parts"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "family"], ascending=[False, True], ignore_index=True)
-        families, n = pdf["family"].tolist(), pdf["n"].to_numpy()
-        codes, lens = encode(families)
-        letters = np.array([_letters(f) for f in families], np.uint64)
-        plain: dict[str, str] = {}
-        for f in families:
-            plain.setdefault(without_umlauts(f), f)
-        out = []
-        for i in np.flatnonzero(((pdf["own"] == pdf["band"]) & (pdf["mine"] == pdf["part"])).to_numpy()):
-            own = families[i]
-            best = (9, 0, 0.0, own)
-            if plain[without_umlauts(own)] != own:
-                best = (0, 0, 0.0, plain[without_umlauts(own)])
-            else:
-                # Commoner spellings stand before.
-                k = min(i, int(np.searchsorted(-n, -2 * (n[i] - 1), side="right")))
-                slips_allowed = RADIUS if len(own) >= 8 else 1
-                close = np.flatnonzero((np.bitwise_count(letters[:k] ^ letters[i]) <= 2 * slips_allowed) & (np.abs(lens[:k] - len(own)) <= slips_allowed))
-                if len(close):
-                    close = close[distances(own, codes[:, close], lens[close]) <= 2 * slips_allowed]
-                for j in close.tolist():
-                    slips, cost = typing_cost(own, families[j])
-                    if slips <= slips_allowed:
-                        best = min(best, (slips, -int(n[j]), cost, families[j]))
-            out.append((pdf["pivot"].iat[i], own, best[3]))
-        return pd.DataFrame(out, columns=["pivot", "family", "parent"])
-
-    links = cut_lineage(spread.groupBy("pivot", "band", "part").applyInPandas(join, "pivot string, family string, parent string"))
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _runs(batches, ["pivot", "band", "part"]):
+            mine = (cell["own"] == cell["band"]) & (cell["mine"] == cell["part"])
+            parents = _parents(cell["family"].tolist(), cell["n"], np.flatnonzero(mine))
+            yield pd.DataFrame([(cell["pivot"][0], f, p) for f, p in parents.items()], columns=["pivot", "family", "parent"])
+
+    cell = ["pivot", "band", "part"]
+    ordered = spread.select(*cell, "own", "mine", "family", "n").repartition(*cell).sortWithinPartitions(*cell, F.desc("n"), "family")
+    joined = ordered.mapInPandas(join, "pivot string, family string, parent string")
+    links = cut_lineage(joined.union(alone))
     for _ in range(2):
         up = links.select("pivot", F.col("family").alias("parent"), F.col("parent").alias("up"))
         links = links.join(up, ["pivot", "parent"], "left").select("pivot", "family", F.coalesce("up", "parent").alias("parent"))
