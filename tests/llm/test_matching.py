@@ -163,7 +163,7 @@ def test_large_names_follow_the_same_rule(spark):
     from unifold.llm.linkage import Network, soft_matches
 
     schema = "who string, comp bigint, towns array<string>, firms int, phones int, handles int"
-    for k in (4, 9, 30):
+    for k in (4, 9, 50, 500):
         nodes = [("x", 1, ["a"], 1, 0, 0), ("x", 2, ["a"], 2, 0, 0), ("x", 3, [], 0, 0, 0)] + [("x", c, [f"t{c}"], 1, 0, 0) for c in range(4, k + 1)]
         got = {r.comp: r.person for r in soft_matches(spark.createDataFrame(nodes, schema)).collect()}
         assert got == {1: 1, 2: 1}, k
@@ -219,3 +219,18 @@ def test_split_cells_change_nothing(spark, monkeypatch):
     whole = linked(spark, names)
     monkeypatch.setattr(namelinks, "CELL", 7)
     assert linked(spark, names) == whole and len(whole) > 200
+
+
+def test_confidences_do_not_depend_on_partitions(spark):
+    from unifold.llm.linkage import soft_matches
+
+    r = random.Random(12)
+    nodes = [(f"n{i % 90}", i, r.sample(["a", "b", "c", "d"], r.choice((0, 1, 1, 2))), r.randrange(2), r.randrange(2), r.randrange(2)) for i in range(500)]
+    df = spark.createDataFrame(nodes, "who string, comp bigint, towns array<string>, firms int, phones int, handles int")
+    one, many = (sorted(map(tuple, soft_matches(df.repartition(n)).collect())) for n in (1, 37))
+    assert one == many and len(one) > 50
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert sorted(map(tuple, soft_matches(df).collect())) == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

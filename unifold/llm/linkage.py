@@ -43,7 +43,8 @@ from unifold.runtime import cut_lineage
 MATCH = 0.5
 TIE = 1e-3
 SLACK = 1e-4
-ROUNDS = 2000
+ROUNDS = 200_000
+TOLERANCE = 1e-6
 RHO = 1.0
 
 # Weights of the rules.
@@ -151,7 +152,7 @@ def soft_matches(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             yield _solve(batch["who"].tolist(), batch["kinds"].tolist())
 
-    grouped = kinds.groupBy("who").agg(F.collect_list(F.struct("comp", "n", *kind[1:])).alias("kinds"))
+    grouped = kinds.groupBy("who").agg(F.array_sort(F.collect_list(F.struct("comp", "n", *kind[1:]))).alias("kinds"))
     solved = grouped.mapInPandas(solve, "who string, towns array<string>, firms int, phones int, handles int, person bigint, confidence double")
     joined = told.join(solved, kind)
     best = F.max_by(F.struct("person", "confidence"), F.struct("confidence", -F.col("person")))
@@ -277,12 +278,15 @@ class Network:
         """(kind, smallest component, confidence) of each kind whose components are joined.
 
         A component that fits two excluding ones equally is joined to neither, else to the better.
+        The surest joins come first, and none is made that would unite components that exclude
+        each other.
         """
         drop = set()
         for one, two, apart in self.rivals:
             if y[apart] <= MATCH < min(y[one], y[two]):
                 drop |= {a for a, b in ((one, two), (two, one)) if y[b] >= y[a] - TIE}
         root, sure = list(range(len(self.kinds))), {}
+        held = {i: [i] for i in root}
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -292,14 +296,24 @@ class Network:
         def every(i: int) -> list[int]:
             return [by[self.group[i][2]] for by in self.labels[self.group[i][0]]] if i in self.group else [i]
 
-        for v, (i, j) in enumerate(self.pairs):
+        def apart(i: int, j: int) -> bool:
+            v = self.at.get(self._canonical((i, j)))
+            return v is not None and self.excluded[v] and y[v] <= MATCH
+
+        for v, (i, j) in sorted(enumerate(self.pairs), key=lambda p: (-round(y[p[0]], 4), p[0])):
             if y[v] <= MATCH or v in drop:
                 continue
             same_town = i in self.group and j in self.group and self.group[i][:2] == self.group[j][:2]
             for together in zip(every(i), every(j)) if same_town else [every(i) + every(j)]:
                 for m in together:
-                    root[find(m)] = find(together[0])
+                    a, b = find(together[0]), find(m)
+                    if a != b and any(apart(p, q) for p in held[a] for q in held[b]):
+                        continue  # a chain of joins never brings together what excludes each other
+                    if a != b:
+                        root[b] = a
+                        held[a] += held.pop(b)
                     sure[m] = max(sure.get(m, 0.0), y[v])
+                    sure[together[0]] = max(sure.get(together[0], 0.0), y[v])
         least: dict[int, int] = {}
         for m in sure:
             least[find(m)] = min(least.get(find(m), self.kinds[m]["comp"]), self.kinds[m]["comp"])
@@ -318,11 +332,14 @@ def ground(nodes: list) -> tuple[list[tuple], list[tuple[tuple[int, ...], tuple[
     return [(order[j]["comp"], order[i]["comp"]) for i, j in net.pairs], net.pots
 
 
-def admm(n_vars: int, pots: list[tuple[tuple[int, ...], tuple[float, ...], float, float]], rounds: int = ROUNDS, rho: float = RHO, counts: list[float] | None = None, ease: list[float] | None = None) -> np.ndarray:
+def admm(n_vars: int, pots: list[tuple[tuple[int, ...], tuple[float, ...], float, float]], rounds: int = ROUNDS, rho: float = RHO, counts: list[float] | None = None, ease: list[float] | None = None, begins: list[int] | None = None) -> np.ndarray:
     """Minimise the potentials' sum over [0, 1]^n by consensus ADMM, all potentials at once.
 
     ``counts`` says how often each potential occurs, ``ease`` scales its penalty ``rho``, which
-    changes the way to the minimum only.
+    changes the way to the minimum only. ``begins`` are the first variables of networks that
+    share no potential: each of them ends by itself, as soon as its own variables rest, so its
+    values don't depend on what it is solved together with. Raises if one doesn't rest within
+    ``rounds``.
     """
     if not n_vars:
         return np.zeros(0)
@@ -333,26 +350,47 @@ def admm(n_vars: int, pots: list[tuple[tuple[int, ...], tuple[float, ...], float
         var[r, : len(v)] = v
         coef[r, : len(c)] = c
     const, weight = np.array([p[2] for p in pots]), np.array([p[3] for p in pots])
-    norm = (coef**2).sum(axis=1)
     rho = np.full(len(pots), rho) * (1.0 if ease is None else np.asarray(ease, float))
-    share = np.repeat(rho * (1.0 if counts is None else np.asarray(counts, float)), width)
-    copies = np.bincount(var.ravel(), share, minlength=n_vars + 1)
-    copies[copies == 0] = 1
-    x = np.full(n_vars + 1, 0.5)
-    dual = np.zeros_like(coef)
-    for _ in range(rounds):
-        v = x[var] - dual
+    share = rho * (1.0 if counts is None else np.asarray(counts, float))
+    net = np.zeros(n_vars, np.int64)
+    net[[b for b in begins or [] if 0 < b < n_vars]] = 1
+    net = np.cumsum(net)
+    owner = net[var[:, 0]] if len(pots) else np.zeros(0, np.int64)
+    result, x, dual = np.full(n_vars, 0.5), np.full(n_vars, 0.5), np.zeros_like(coef)
+    live = np.arange(n_vars)  # the variables that still move
+    number = net[live]
+    for done in range(rounds):
+        if not done % 50:  # what rests needs no more work
+            keep = np.isin(owner, number)
+            var, coef, const, weight, rho, share, dual, owner = (z[keep] for z in (var, coef, const, weight, rho, share, dual, owner))
+            at = np.full(n_vars + 1, len(live))
+            at[live] = np.arange(len(live))
+            local_var, x_live = at[var], np.append(x[live], 0.0)
+            step_scale = 2 * weight / (rho + 2 * weight * (coef**2).sum(axis=1))
+            shares = np.repeat(share, width)
+            copies = np.bincount(local_var.ravel(), shares, minlength=len(live) + 1)
+            copies[copies == 0] = 1
+            starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+            rests = np.zeros(len(starts), bool)
+        v = x_live[local_var] - dual
         value = (coef * v).sum(axis=1) + const
-        step = 2 * weight * np.maximum(value, 0) / (rho + 2 * weight * norm)  # closed form of a squared hinge
-        local = v - step[:, None] * coef
-        total = np.bincount(var.ravel(), share * (local + dual).ravel(), minlength=n_vars + 1)
+        local = v - (step_scale * np.maximum(value, 0))[:, None] * coef  # closed form of a squared hinge
+        total = np.bincount(local_var.ravel(), shares * (local + dual).ravel(), minlength=len(live) + 1)
         new = np.clip(total / copies, 0.0, 1.0)
-        dual += local - new[var]
-        if np.abs(new - x)[:n_vars].max() < 1e-6:
-            x = new
-            break
-        x = new
-    return x[:n_vars]
+        dual += local - new[local_var]
+        calm = (np.maximum.reduceat(np.abs(new - x_live)[:-1], starts) < TOLERANCE) & ~rests
+        x_live = new
+        if calm.any():
+            rests |= calm
+            own = np.isin(number, number[starts[calm]])
+            result[live[own]] = new[:-1][own]
+            if rests.all():
+                return result
+        if done % 50 == 49:
+            x[live] = x_live[:-1]
+            live = live[~np.isin(number, number[starts[rests]])]
+            number = net[live]
+    raise RuntimeError(f"the confidences still change after {rounds} rounds")
 
 
 def _solve(names: list[str], groups: list) -> pd.DataFrame:
@@ -367,7 +405,7 @@ def _solve(names: list[str], groups: list) -> pd.DataFrame:
             counts += [float(c) for c in net.counts]
             ease += [1.0 if len(p[0]) == 1 else 1 / max(1, net.size - 2) for p in net.pots]  # a pair is in size - 2 triples
             ends.append(ends[-1] + len(net.pairs))
-        y = admm(ends[-1], pots, counts=counts, ease=ease)
+        y = admm(ends[-1], pots, counts=counts, ease=ease, begins=ends)
         for w, lo, hi in zip(work, ends, ends[1:]):
             values[w] = y[lo:hi]
         work = [w for w in work if nets[w].add(nets[w].broken(values[w]))]
