@@ -1,7 +1,9 @@
 """Résumé text to structured fields, as column expressions over a text column.
 
-Everything stays inside Catalyst: lines are arrays, sections are found by positions in them, and
-the two parsers that must remember the line before are folds with a struct state.
+Everything stays inside Catalyst. ``with_lines`` makes the lines and the places of the headings
+columns of their own; all later expressions are built on these, so no pattern is applied to a
+line twice. The two parsers that depend on the line before find their entries' first lines at
+once and cut the block there; no array grows line by line.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ DEGREE_WORDS = ["b.e.", "b.tech", "b.s.", "sslc", "puc", "course", "school", "co
 EMAIL = r"(?U)[\w\.-]+@[\w\.-]+\.\w+"
 PHONE = r"(?U)(?:\+?\d{1,4}[-.\s]?)?\(?\d{2,5}\)?[-.\s]?\d{3,5}[-.\s]?\d{3,5}"
 GITHUB = r"(?i)(?:https?://)?(?:www\.)?github\.com/[a-zA-Z0-9_-]+"
+LOCATION = r"(?idU)Location:\s*(.*)"
 LINKEDIN = r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/[a-zA-Z0-9_-]+"
 
 
@@ -48,19 +51,29 @@ def text_lines(text: Column) -> Column:
 
 
 def heading_of(line: Column) -> Column:
-    """The section heading a whole line is, or null."""
-    low = F.lower(strip(line))
+    """The section heading a whole stripped line is, or null."""
+    low = F.lower(line)
     bare = F.when(F.endswith(low, F.lit(":")), strip(F.substring(low, F.lit(1), F.length(low) - 1))).otherwise(low)
     return F.when(bare.isin(HEADINGS), bare)
 
 
-def section_block(lines: Column, heading: str) -> Column:
-    """Lines below the last occurrence of a heading, up to the next heading; null without it."""
-    n = F.size(lines)
-    at = F.filter(F.transform(lines, lambda x, i: F.when(heading_of(x).isNotNull(), F.struct(i.alias("i"), heading_of(x).alias("h")))), lambda x: x.isNotNull())
-    mine = F.array_max(F.transform(F.filter(at, lambda x: x["h"] == heading), lambda x: x["i"]))
-    after = F.array_min(F.transform(F.filter(at, lambda x: x["i"] > mine), lambda x: x["i"]))
-    return F.when(mine.isNotNull(), F.slice(lines, mine + 2, F.greatest(F.coalesce(after, n) - mine - 1, F.lit(0))))
+def with_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``_lines``, the stripped lines that aren't blank, and ``_heads``, (i, h) of each heading."""
+    df = df.withColumn("_lines", text_lines(F.col(text_col)))
+    told = F.transform("_lines", lambda x, i: F.struct(i.alias("i"), heading_of(x).alias("h")))
+    return df.withColumn("_heads", F.filter(told, lambda x: x["h"].isNotNull()))
+
+
+def section_block(heading: str) -> Column:
+    """Lines below the last occurrence of a heading, up to the next heading; null without it.
+
+    Needs the columns of ``with_lines``.
+    """
+    lines, heads = F.col("_lines"), F.col("_heads")
+    places = F.transform(heads, lambda x, k: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.coalesce(F.get(heads, k + 1)["i"], F.size(lines)).alias("upto")))
+    mine = F.filter(places, lambda x: x["h"] == heading)
+    last = F.get(mine, F.size(mine) - 1)
+    return F.when(F.size(mine) > 0, F.slice(lines, last["i"] + 2, last["upto"] - last["i"] - 1))
 
 
 def split_skills(block: Column) -> Column:
@@ -86,12 +99,14 @@ def split_location(value: Column) -> Column:
 
 
 def parse_education(block: Column) -> Column:
-    """Degree lines with the institution in the line after each.
+    """Degree lines with the institution in the line after each, which is no degree line itself.
 
-    A fold over the lines with (the entries, whether this line is taken as an institution).
+    The degree lines are marks in a string, in which a pattern takes each with its successor.
     """
     lines = F.coalesce(block, F.array().cast("array<string>"))
-    indexed = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next"), (i + 1 < F.size(lines)).alias("has_next")))
+    words = "|".join(w.replace(".", r"\.") for w in DEGREE_WORDS)
+    marks = F.array_join(F.transform(lines, lambda x: F.when(F.rlike(F.lower(x), F.lit(words)), F.lit("d")).otherwise(F.lit("-"))), "")
+    begins = F.split(F.regexp_replace(F.regexp_replace(marks, "d.", "B-"), "d", "B"), "")
 
     def last_year(x: Column) -> Column:
         years = F.regexp_extract_all(x, F.lit(r"\b(\d{4})\b"), 1)
@@ -102,58 +117,43 @@ def parse_education(block: Column) -> Column:
         inst = strip(F.regexp_replace(strip(F.regexp_replace(x["next"], r"(?:CGPA:|Percentage:).*$", "")), r"(?U)[,\s\?\-]+$", ""))
         field = strip(F.regexp_extract(degree, r"(?iU)in\s+([^(\n?]+)", 1))
         return F.struct(
-            F.when(x["has_next"], inst).otherwise(F.lit("")).alias("institution"),
+            F.coalesce(inst, F.lit("")).alias("institution"),
             degree.alias("degree"),
             field.alias("field"),
-            F.coalesce(last_year(x["line"]), F.when(x["has_next"], last_year(x["next"]))).alias("end_year"),
+            F.coalesce(last_year(x["line"]), last_year(x["next"])).alias("end_year"),
         )
 
-    def is_degree(line: Column) -> Column:
-        low = F.lower(line)
-        hit = F.lit(False)
-        for w in DEGREE_WORDS:
-            hit = hit | F.contains(low, F.lit(w))
-        return hit
-
-    start = F.struct(F.array().cast(EDUCATION).alias("out"), F.lit(False).alias("skip"))
-    folded = F.aggregate(
-        indexed, start,
-        lambda s, x: F.when(s["skip"] | ~is_degree(x["line"]), F.struct(s["out"].alias("out"), F.lit(False).alias("skip"))).otherwise(
-            F.struct(F.concat(s["out"], F.array(entry(x))).cast(EDUCATION).alias("out"), F.lit(True).alias("skip"))
-        ),
-    )
-    return folded["out"]
+    zipped = F.arrays_zip(lines.alias("line"), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))).alias("next"), begins.alias("mark"))
+    found = F.filter(zipped, lambda x: x["mark"] == "B")
+    return F.transform(found, entry).cast(EDUCATION)
 
 
 def parse_projects(block: Column) -> Column:
     """Entries that begin with a line "title | technologies"; bullets and other lines add to the summary."""
     lines = F.coalesce(block, F.array().cast("array<string>"))
+    begins = F.filter(F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit("|")), i)), lambda i: i.isNotNull())
+
+    def more(x: Column) -> Column:
+        return F.concat(F.when(F.rlike(x, F.lit(r"^[?•-]")), strip(F.substring(x, F.lit(2), F.length(x)))).otherwise(x), F.lit(" "))
 
-    def opened(x: Column) -> Column:
-        title = F.regexp_replace(strip(F.substring_index(x, "|", 1)), r"(?U)(\w)\s+(\w)", "$1$2")
-        tech = strip(F.regexp_replace(x, r"(?s)^[^|]*\|", ""))
+    def entry(x: Column) -> Column:
+        first = F.element_at(x, 1)
+        title = F.regexp_replace(strip(F.substring_index(first, "|", 1)), r"(?U)(\w)\s+(\w)", "$1$2")
+        tech = strip(F.regexp_replace(first, r"(?s)^[^|]*\|", ""))
+        rest = F.transform(F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), more)
         return F.struct(
             F.lit("Personal/Academic Project").alias("company"), title.alias("title"), F.lit(None).cast("string").alias("start"),
-            F.lit("Present").alias("end"), F.concat(F.lit("Technologies: "), tech, F.lit(". ")).alias("summary"),
+            F.lit("Present").alias("end"), F.concat(F.lit("Technologies: "), tech, F.lit(". "), F.array_join(rest, "")).alias("summary"),
         )
 
-    def extended(out: Column, x: Column) -> Column:
-        bullet = F.rlike(x, F.lit(r"^[?•-]"))
-        text = F.concat(F.when(bullet, strip(F.substring(x, F.lit(2), F.length(x)))).otherwise(x), F.lit(" "))
-        last = F.get(out, F.size(out) - 1)
-        more = F.struct(last["company"].alias("company"), last["title"].alias("title"), last["start"].alias("start"), last["end"].alias("end"), F.concat(last["summary"], text).alias("summary"))
-        return F.when(F.size(out) == 0, out).otherwise(F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(more)).cast(EXPERIENCE))
-
-    return F.aggregate(
-        lines, F.array().cast(EXPERIENCE),
-        lambda out, x: F.when(F.contains(x, F.lit("|")), F.concat(out, F.array(opened(x))).cast(EXPERIENCE)).otherwise(extended(out, x)),
-    )
+    slices = F.transform(begins, lambda i, k: F.slice(lines, i + 1, F.coalesce(F.get(begins, k + 1), F.size(lines)) - i))
+    return F.transform(slices, entry).cast(EXPERIENCE)
 
 
 def location_of(text: Column, education: Column) -> Column:
     """The place after "Location:", else a guess from the first institution."""
-    hit = F.rlike(text, F.lit(r"(?idU)Location:\s*(.*)"))
-    stated = split_location(strip(F.regexp_extract(text, r"(?idU)Location:\s*(.*)", 1)))
+    hit = F.rlike(text, F.lit(LOCATION))
+    stated = split_location(strip(F.regexp_extract(text, LOCATION, 1)))
     inst = F.coalesce(F.get(education, F.lit(0))["institution"], F.lit(""))
     parts = F.transform(F.split(inst, ","), strip)
     low = F.lower(inst)
@@ -165,13 +165,22 @@ def location_of(text: Column, education: Column) -> Column:
     return F.when(hit, stated).otherwise(guess)
 
 
-def headline_of(lines: Column) -> Column:
-    """Summary block, else objective block, else a short second line that is no heading; null if none."""
+def work_block() -> Column:
+    """Lines of the projects section, of the experience section where that has none."""
+    projects = section_block("projects")
+    return F.when(F.coalesce(F.size(projects), F.lit(0)) > 0, projects).otherwise(section_block("experience"))
+
+
+def headline_of() -> Column:
+    """Summary block, else objective block, else a short second line that is no heading; null if none.
+
+    Needs the columns of ``with_lines``.
+    """
     def block(h: str) -> Column:
-        joined = strip(F.array_join(section_block(lines, h), "\n"))
+        joined = strip(F.array_join(section_block(h), "\n"))
         return F.when(joined != "", joined)
 
-    second = F.get(lines, F.lit(1))
+    second = F.get("_lines", F.lit(1))
     fallback = F.when(~F.lower(second).isin(HEADINGS) & (F.length(second) < 100), second)
     return strip(F.regexp_replace(F.coalesce(block("summary"), block("objective"), fallback), "\n", " "))
 
@@ -183,15 +192,15 @@ def resume_records(df: DataFrame, text_col: str = "text", annotations: bool = Fa
     Other columns the raw record doesn't know are dropped; ``ingest_idx`` is kept if present.
     """
     text = F.col(text_col)
-    base = df.where(text.isNotNull() & (text != "")).withColumn("_lines", text_lines(text))
-    base = base.withColumn("_edu", parse_education(section_block(F.col("_lines"), "education")))
+    # Blocks are columns too: their parsers refer to them from within lambdas.
+    base = with_lines(df.where(text.isNotNull() & (text != "")), text_col)
+    base = base.withColumn("_edu", section_block("education")).withColumn("_work", work_block()).withColumn("_skills", section_block("skills"))
+    base = base.withColumn("_edu", parse_education(F.col("_edu")))
     lines, edu = F.col("_lines"), F.col("_edu")
-    projects, jobs = section_block(lines, "projects"), section_block(lines, "experience")
-    work = F.when(F.coalesce(F.size(projects), F.lit(0)) > 0, projects).otherwise(jobs)
     given = (lambda n: F.coalesce(F.col("pdf_links")[n], F.lit(""))) if annotations else (lambda n: F.lit(""))
     pick = lambda n, pattern: F.when(given(n) != "", given(n)).otherwise(first_match(text, pattern))
     other = F.coalesce(F.col("pdf_links")["other"], F.array().cast("array<string>")) if annotations else F.array().cast("array<string>")
-    skills = F.transform(split_skills(section_block(lines, "skills")), lambda x: F.struct(x.alias("name"), F.lit(None).cast("double").alias("confidence")))
+    skills = F.transform(split_skills(F.col("_skills")), lambda x: F.struct(x.alias("name"), F.lit(None).cast("double").alias("confidence")))
     return as_raw(
         base,
         source=F.lit("resume"),
@@ -200,8 +209,8 @@ def resume_records(df: DataFrame, text_col: str = "text", annotations: bool = Fa
         phones=extract_phones(text),
         location=location_of(text, edu),
         links=F.struct(pick("linkedin", LINKEDIN).alias("linkedin"), pick("github", GITHUB).alias("github"), given("portfolio").alias("portfolio"), other.alias("other")),
-        headline=headline_of(lines),
+        headline=headline_of(),
         skills=skills,
-        experience=parse_projects(work),
+        experience=parse_projects(F.col("_work")),
         education=edu,
     )

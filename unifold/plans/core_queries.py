@@ -14,6 +14,7 @@ from unifold.operators.enrich import enrich, wanted_handles
 from unifold.operators.project import project
 from unifold.operators.resolve import identifiers, resolve_entities
 from unifold.runtime import cut_lineage, read_table
+from unifold.schemas import EDUCATION
 from unifold.sources.readers import github_records, profile_records, sheet_records
 
 AS_OF = "2026-07"
@@ -55,8 +56,8 @@ def all_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def by_town(spark: SparkSession, d: str) -> DataFrame:
-    """Profiles grouped by their town: few, large groups, to exercise the merge rules."""
-    return profiles(spark, d).withColumn(M.GROUP, F.coalesce(F.col("location.city"), F.lit("")))
+    """Profiles grouped by their town: few, large groups, to exercise the merge rules; without one, each by itself."""
+    return profiles(spark, d).withColumn(M.GROUP, F.coalesce(F.col("location.city"), F.concat(F.lit("#"), "ingest_idx")))
 
 
 def s1_sheet_records(spark: SparkSession, d: str) -> DataFrame:
@@ -83,8 +84,8 @@ def t1_emails(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t2_phones(spark: SparkSession, d: str) -> DataFrame:
-    """Number-like strings in the documents."""
-    return _documents(spark, d).select("doc_id", F.explode(X.extract_phones(F.col("text"))).alias("phone"))
+    """Number-like strings in the résumés."""
+    return resume_texts(spark, d).select("src", "doc_id", F.explode(X.extract_phones(F.col("text"))).alias("phone"))
 
 
 def t3_links(spark: SparkSession, d: str) -> DataFrame:
@@ -99,46 +100,77 @@ def t4_names(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", F.coalesce(F.get(X.text_lines(F.col("text")), F.lit(0)), F.lit("")).alias("full_name"))
 
 
+def resume_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(src, doc_id, text): the documents, and résumés written out from the profiles' fields."""
+    def line(label: str, value: Column) -> Column:
+        return F.concat(F.lit(label), F.coalesce(value, F.lit("")))
+
+    def each(name: str, fn) -> Column:
+        return F.array_join(F.transform(F.coalesce(F.col(name), F.array()), fn), "\n")
+
+    text = F.coalesce
+    schooling = each("education", lambda e: F.concat(F.lit("Course: "), text(e["degree"], F.lit("")), F.lit(" in "), text(e["field"], F.lit("")), F.lit(" "), text(e["end_year"].cast("string"), F.lit("")), F.lit("\n"), text(e["institution"], F.lit("?")), F.lit(", CGPA: 9")))
+    work = each("experience", lambda x: F.concat(text(x["title"], F.lit("")), F.lit(" | "), text(x["company"], F.lit("")), F.lit("\n- "), text(x["summary"], F.lit(""))))
+    place = F.concat_ws(", ", "location.city", "location.region", "location.country")
+    written = F.concat_ws(
+        "\n", "full_name", "headline", line("Phone: ", F.array_join("phones", " / ")), line("Mail: ", F.array_join("emails", " ")), F.when(place != "", line("LOCATION: ", place)),
+        F.lit("Education:"), schooling, F.lit("SKILLS"), line("Main: ", F.array_join(F.transform("skills", lambda x: x["name"]), "; ")), F.lit("Projects"), work,
+    )
+    made = read_table(spark, d, "output_default").select(F.lit("p").alias("src"), F.col("record_no").alias("doc_id"), written.alias("text"))
+    return _documents(spark, d).select(F.lit("d").alias("src"), "doc_id", "text").union(made)
+
+
 def t5_sections(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of the documents' sections."""
-    lines = _documents(spark, d).withColumn("lines", X.text_lines(F.col("text")))
-    blocks = F.array(*(F.struct(F.lit(h).alias("heading"), X.section_block(F.col("lines"), h).alias("block")) for h in X.HEADINGS))
-    return lines.select("doc_id", F.explode(blocks).alias("b")).where("b.block is not null").select("doc_id", "b.heading", _joined(F.col("b.block")).alias("block"))
+    blocks = F.array(*(F.struct(F.lit(h).alias("heading"), X.section_block(h).alias("block")) for h in X.HEADINGS))
+    found = X.with_lines(_documents(spark, d)).select("doc_id", F.explode(blocks).alias("b")).where("b.block is not null")
+    return found.select("doc_id", "b.heading", _joined(F.col("b.block")).alias("block"))
 
 
 def t6_skills(spark: SparkSession, d: str) -> DataFrame:
     """Skills of the skills sections, in order."""
-    return _documents(spark, d).select("doc_id", F.posexplode(X.split_skills(X.section_block(X.text_lines(F.col("text")), "skills"))).alias("pos", "skill"))
+    blocks = X.with_lines(resume_texts(spark, d)).select("src", "doc_id", X.section_block("skills").alias("block"))
+    return blocks.select("src", "doc_id", F.posexplode(X.split_skills(F.col("block"))).alias("pos", "skill"))
 
 
 def t7_locations(spark: SparkSession, d: str) -> DataFrame:
-    """Code-host locations divided into city, region and country."""
-    t = read_table(spark, d, "github_mock").where("user_profile.location <> ''")
-    return t.select("profile_id", X.split_location(strip(F.col("user_profile.location"))).alias("l")).select("profile_id", "l.city", "l.region", "l.country")
+    """Places stated in the résumés, and code-host locations, divided into city, region and country."""
+    hosts = read_table(spark, d, "github_mock").where("user_profile.location <> ''").select(F.lit("h").alias("src"), F.col("profile_id").alias("doc_id"), X.split_location(strip(F.col("user_profile.location"))).alias("l"))
+    stated = resume_texts(spark, d).where(F.rlike("text", F.lit(X.LOCATION))).select("src", "doc_id", X.location_of(F.col("text"), F.array().cast(EDUCATION)).alias("l"))
+    return hosts.union(stated).select("src", "doc_id", "l.city", "l.region", "l.country")
+
+
+def t8_places(spark: SparkSession, d: str) -> DataFrame:
+    """Place of each résumé, guessed from the first institution where none is stated."""
+    read = X.resume_records(resume_texts(spark, d).select("*", F.col("doc_id").alias("ingest_idx")).where("src = 'd'"))
+    schools = read_table(spark, d, "output_default").select("record_no", F.concat_ws(", ", F.get("education", F.lit(0))["institution"], "location.city", "location.country").alias("inst"))
+    none = F.lit(None).cast("string")
+    edu = F.array(F.struct(F.col("inst").alias("institution"), none.alias("degree"), none.alias("field"), none.cast("int").alias("end_year")))
+    guessed = schools.select(F.lit("p").alias("src"), F.col("record_no").alias("doc_id"), X.location_of(F.lit(""), edu).alias("l"))
+    return read.select(F.lit("d").alias("src"), F.col("ingest_idx").alias("doc_id"), F.col("location").alias("l")).union(guessed).select("src", "doc_id", "l.city", "l.region", "l.country")
 
 
 def t9_education(spark: SparkSession, d: str) -> DataFrame:
-    """Education entries of the documents (a fold; checked by fixtures)."""
-    e = _documents(spark, d).select("doc_id", F.posexplode(X.parse_education(X.section_block(X.text_lines(F.col("text")), "education"))).alias("pos", "e"))
-    return e.select("doc_id", "pos", "e.*")
+    """Education entries of the résumés."""
+    blocks = X.with_lines(resume_texts(spark, d)).select("src", "doc_id", X.section_block("education").alias("block"))
+    return blocks.select("src", "doc_id", F.posexplode(X.parse_education(F.col("block"))).alias("pos", "e")).select("src", "doc_id", "pos", "e.*")
 
 
 def t10_projects(spark: SparkSession, d: str) -> DataFrame:
-    """Project entries of the documents (a fold; checked by fixtures)."""
-    lines = X.text_lines(F.col("text"))
-    work = F.coalesce(X.section_block(lines, "projects"), X.section_block(lines, "experience"))
-    e = _documents(spark, d).select("doc_id", F.posexplode(X.parse_projects(work)).alias("pos", "e"))
-    return e.select("doc_id", "pos", "e.company", "e.title", "e.summary")
+    """Project entries of the résumés."""
+    blocks = X.with_lines(resume_texts(spark, d)).select("src", "doc_id", X.work_block().alias("block"))
+    return blocks.select("src", "doc_id", F.posexplode(X.parse_projects(F.col("block"))).alias("pos", "e")).select("src", "doc_id", "pos", "e.company", "e.title", "e.summary")
 
 
 def t11_headlines(spark: SparkSession, d: str) -> DataFrame:
     """Headlines of the documents."""
-    return _documents(spark, d).select("doc_id", X.headline_of(X.text_lines(F.col("text"))).alias("headline"))
+    return X.with_lines(_documents(spark, d)).select("doc_id", X.headline_of().alias("headline"))
 
 
 def t12_resume_records(spark: SparkSession, d: str) -> DataFrame:
-    """Whole raw records of the documents."""
-    r = X.resume_records(_documents(spark, d).withColumn("ingest_idx", F.col("doc_id")))
+    """Whole raw records of the résumés."""
+    texts = resume_texts(spark, d).withColumn("ingest_idx", F.when(F.col("src") == "d", F.col("doc_id")).otherwise(F.col("doc_id") + _SOURCE_GAP))
+    r = X.resume_records(texts)
     return r.select("ingest_idx", "source", "full_name", F.size("emails").alias("n_emails"), F.size("phones").alias("n_phones"), "location.city", "location.country", "headline", F.size("skills").alias("n_skills"), F.size("experience").alias("n_jobs"), F.size("education").alias("n_education"))
 
 
@@ -282,7 +314,7 @@ def profile_pipeline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s1_sheet_records, s9_github_records, t1_emails, t2_phones, t3_links, t4_names, t5_sections, t6_skills, t7_locations, t9_education, t10_projects, t11_headlines,
+        s1_sheet_records, s9_github_records, t1_emails, t2_phones, t3_links, t4_names, t5_sections, t6_skills, t7_locations, t8_places, t9_education, t10_projects, t11_headlines,
         t12_resume_records, n1_phones, n2_dates, n3_countries, n4_skills, n6_handles, n8_ids, j1_shared_identifiers, j2_components, a1_scalars, a2_emails, a3_places_and_links,
         a5_experience, a6_education, a7_skills, a8_profiles, p5_projection, p6_required_missing, p7_metadata, u1_sources, j4_enrichment, u5_wanted_handles, profile_pipeline,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from unifold.functions.normalize import CALLING_CODES, COUNTRIES, MONTHS, SKILL_NAMES
 from unifold.functions.trust import TRUST_WEIGHTS
-from unifold.operators.extract import HEADINGS
+from unifold.operators.extract import DEGREE_WORDS, HEADINGS
 from unifold.plans.core_queries import AS_OF
 
 _WS = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -102,18 +102,99 @@ def place(value: str, part: str) -> str:
 
 _GAP = 1_000_000_000_000
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
-_DOCS = "(select doc_id, text from documents where text is not null)"
+_DOCS = "(select 'd' as src, doc_id, text from documents where text is not null)"
 _HEAD_IN = ", ".join(map(q, HEADINGS))
-_SECTIONS = f"""
-  lines as (select doc_id, unnest(l) as line, unnest(range(len(l))) as i, len(l) as n from (select doc_id, {_LINES} as l from {_DOCS}) x),
+
+
+def listed(array: str, value: str) -> str:
+    """Texts of an array's elements ``x``, one below the other."""
+    return f"coalesce(array_to_string(list_transform({array}, lambda x: {value}), chr(10)), '')"
+
+
+_PLACE = "concat_ws(', ', location.city, location.region, location.country)"
+_NL = "chr(10)"
+_SCHOOLING = f"'Course: ' || coalesce(x.degree, '') || ' in ' || coalesce(x.field, '') || ' ' || coalesce(x.end_year::varchar, '') || {_NL} || coalesce(x.institution, '?') || ', CGPA: 9'"
+_WORK = f"coalesce(x.title, '') || ' | ' || coalesce(x.company, '') || {_NL} || '- ' || coalesce(x.summary, '')"
+_TEXTS = f"""(select 'd' as src, doc_id, text from documents where text is not null union all
+  select 'p', record_no, concat_ws({_NL}, full_name, headline, 'Phone: ' || coalesce(array_to_string(phones, ' / '), ''), 'Mail: ' || coalesce(array_to_string(emails, ' '), ''),
+    case when {_PLACE} <> '' then 'LOCATION: ' || {_PLACE} end, 'Education:', {listed("education", _SCHOOLING)}, 'SKILLS',
+    'Main: ' || coalesce(array_to_string(list_transform(skills, lambda x: x.name), '; '), ''), 'Projects', {listed("experience", _WORK)}) from output_default)"""
+
+
+def sections(texts: str) -> str:
+    """CTEs ``lines`` and ``sections`` of rows (src, doc_id, text)."""
+    return f"""
+  lines as (select src, doc_id, unnest(l) as line, unnest(range(len(l))) as i, len(l) as n from (select src, doc_id, {_LINES} as l from {texts} t) x),
   marked as (select *, case when lower(line) like '%:' then {strip("left(lower(line), length(line) - 1)")} else lower(line) end as h from lines),
-  heads as (select doc_id, h as heading, i, n, lead(i) over (partition by doc_id order by i) as nxt from marked where h in ({_HEAD_IN})),
-  last as (select doc_id, heading, max(i) as i, max_by(coalesce(nxt, n), i) as upto from heads group by doc_id, heading),
-  sections as (select s.doc_id, s.heading, list(l.line order by l.i) filter (where l.line is not null) as block
-    from last s left join lines l on l.doc_id = s.doc_id and l.i > s.i and l.i < s.upto group by s.doc_id, s.heading)"""
+  heads as (select src, doc_id, h as heading, i, n, lead(i) over (partition by src, doc_id order by i) as nxt from marked where h in ({_HEAD_IN})),
+  last as (select src, doc_id, heading, max(i) as i, max_by(coalesce(nxt, n), i) as upto from heads group by src, doc_id, heading),
+  sections as (select s.src, s.doc_id, s.heading, list(l.line order by l.i) filter (where l.line is not null) as block
+    from last s left join lines l on l.src = s.src and l.doc_id = s.doc_id and l.i > s.i and l.i < s.upto group by s.src, s.doc_id, s.heading)"""
+
+
+def skills_of(sections_cte: str = "sections") -> str:
+    """CTEs ``tails``, ``parts``, ``kept`` of the skills sections' skills."""
+    tail = "case when contains(line, ':') then regexp_replace(line, '^[^:]*:', '') else line end"
+    return f"""tails as (select src, doc_id, unnest(block) as line, unnest(range(len(block))) as i from {sections_cte} where heading = 'skills'),
+  parts as (select src, doc_id, i, unnest(string_split_regex({tail}, '[,;]')) as p, unnest(range(len(string_split_regex({tail}, '[,;]')))) as j from tails),
+  kept as (select src, doc_id, i, j, regexp_replace({strip("p")}, '{_WS}+', ' ', 'g') as skill, {strip("p")} as s from parts where {strip("p")} <> '' and length({strip("p")}) < 50)"""
+
+
+def years(x: str) -> str:
+    return rf"regexp_extract_all({x}, '\b(\d{{4}})\b', 1)[-1]::int"
+
+
+#: Degree lines in a row alternate between a degree and what follows it.
+_EDU = rf"""
+  edu_lines as (select src, doc_id, unnest(block) as line, unnest(range(len(block))) as i from sections where heading = 'education'),
+  degree_lines as (select *, regexp_matches(lower(line), '{"|".join(w.replace(".", chr(92) + ".") for w in DEGREE_WORDS)}') as is_degree, lead(line) over (partition by src, doc_id order by i) as following from edu_lines),
+  edu_runs as (select *, i - row_number() over (partition by src, doc_id, is_degree order by i) as run from degree_lines),
+  degrees as (select *, row_number() over (partition by src, doc_id, is_degree, run order by i) as place from edu_runs),
+  edu_entries as (select src, doc_id, i, {strip(f"regexp_replace(regexp_replace(line, '[0-9]{{4}}', '', 'g'), '(?:[-?–]|{_WS})+$', '')")} as degree, line, following,
+    {strip(f"regexp_replace({strip("regexp_replace(following, '(?:CGPA:|Percentage:).*$', '')")}, '(?:[,?-]|{_WS})+$', '')")} as institution from degrees where is_degree and place % 2 = 1),
+  schooling as (select src, doc_id, (row_number() over (partition by src, doc_id order by i) - 1)::int as pos, coalesce(institution, '') as institution, degree,
+    {strip(f"regexp_extract(degree, '(?i)in{_WS}+([^(\n?]+)', 1)")} as field, coalesce({years("line")}, {years("following")}) as end_year from edu_entries)"""
+
+_PROJECTS = rf"""
+  work as (select b.src, b.doc_id, case when len(coalesce(p.block, [])) > 0 then p.block else e.block end as block
+    from (select distinct src, doc_id from sections) b left join sections p on p.src = b.src and p.doc_id = b.doc_id and p.heading = 'projects' left join sections e on e.src = b.src and e.doc_id = b.doc_id and e.heading = 'experience'),
+  work_lines as (select src, doc_id, unnest(block) as line, unnest(range(len(block))) as i from work),
+  entries as (select *, sum(contains(line, '|')::int) over (partition by src, doc_id order by i) as k from work_lines),
+  projects as (select src, doc_id, (k - 1)::int as pos, 'Personal/Academic Project' as company,
+    regexp_replace({strip("split_part(min_by(line, i), '|', 1)")}, '({_WORD}){_WS}+({_WORD})', '\1\2', 'g') as title,
+    'Technologies: ' || {strip("regexp_replace(min_by(line, i), '(?s)^[^|]*\|', '')")} || '. ' ||
+    coalesce(string_agg(case when regexp_matches(line, '^[?•-]') then {strip("substr(line, 2)")} else line end || ' ', '' order by i) filter (where not contains(line, '|')), '') as summary
+    from entries where k > 0 group by src, doc_id, k)"""
+
+_STATED = rf"(?i)Location:{_WS}*(.*)"
+
+
+def mails(texts: str) -> str:
+    return rf"select distinct src, doc_id, unnest(regexp_extract_all(text, '(?:{_WORD}|[.-])+@(?:{_WORD}|[.-])+\.{_WORD}+')) as email from {texts} t"
+
+
+def numbers(texts: str) -> str:
+    found = rf"'(?:\+?\d{{1,4}}(?:[-.]|{_WS})?)?\(?\d{{2,5}}\)?(?:[-.]|{_WS})?\d{{3,5}}(?:[-.]|{_WS})?\d{{3,5}}'"
+    return rf"""select distinct src, doc_id, regexp_replace(p, '^[^+\d]+|[^0-9]+$', '', 'g') as phone from (select src, doc_id, unnest(regexp_extract_all(text, {found})) as p from {texts} t) x
+          where length(regexp_replace(p, '\D', '', 'g')) between 8 and 15"""
+
+
+def guessed(inst: str, part: str) -> str:
+    """City or country of an institution's last part."""
+    if part == "city":
+        return f"case when coalesce({inst}, '') <> '' then {strip(f'string_split({inst}, $q$,$q$)[-1]')} else '' end"
+    return f"case when len(string_split(coalesce({inst}, ''), ',')) >= 2 and (contains(lower({inst}), 'ballari') or contains(lower({inst}), 'india')) then 'IN' else '' end"
+
+
+def headline(base: str) -> str:
+    fallback = f"case when lower(l[2]) not in ({_HEAD_IN}) and length(l[2]) < 100 then l[2] end"
+    chosen = strip(f"replace(coalesce(nullif(array_to_string(s.block, chr(10)), ''), nullif(array_to_string(o.block, chr(10)), ''), {fallback}), chr(10), ' ')")
+    return f"""select b.src, b.doc_id, {chosen} as headline
+          from {base} b left join sections s on s.src = b.src and s.doc_id = b.doc_id and s.heading = 'summary' left join sections o on o.src = b.src and o.doc_id = b.doc_id and o.heading = 'objective'"""
+
 
 _TOWN = f"""
-  prof as (select *, coalesce(location.city, '') as component_id, record_no + {_GAP} as idx, coalesce(provenance[1].source, 'unknown') as source from output_default),
+  prof as (select *, coalesce(location.city, '#' || (record_no + {_GAP})) as component_id, record_no + {_GAP} as idx, coalesce(provenance[1].source, 'unknown') as source from output_default),
   ranked as (select *, {weight("source")} as weight from prof)"""
 _RK = "struct_pack(w := -weight, i := idx)"
 _EMAILS = f"list_filter(list_transform(list_filter(coalesce(emails, []), lambda e: e is not null), lambda e: lower({strip('e')})), lambda e: e <> '')"
@@ -157,21 +238,31 @@ def oracle_sql() -> dict[str, str]:
           case when coalesce(u.location, '') <> '' then {place(strip("u.location"), "country")} else '' end as country, coalesce(u.html_url, 'https://github.com/' || coalesce(u.login, '')) as github, {text("u.blog")} as portfolio,
           case when coalesce(u.bio, '') <> '' then u.bio end as headline, array_to_string(list_filter(langs, lambda x, i: list_position(list_transform(langs, lambda y: lower(y)), lower(x)) = i), '|') as skills,
           coalesce(u.public_repos, len(coalesce(repos, []))) as repository_count from (select profile_id, user_profile as u, repos, {langs} as langs from github_mock where user_profile is not null) t""",
-        "t1_emails": rf"select distinct doc_id, unnest(regexp_extract_all(text, '(?:{_WORD}|[.-])+@(?:{_WORD}|[.-])+\.{_WORD}+')) as email from {_DOCS} t",
-        "t2_phones": rf"""select distinct doc_id, regexp_replace(p, '^[^+\d]+|[^0-9]+$', '', 'g') as phone from (select doc_id, unnest(regexp_extract_all(text, '(?:\+?\d{{1,4}}(?:[-.]|{_WS})?)?\(?\d{{2,5}}\)?(?:[-.]|{_WS})?\d{{3,5}}(?:[-.]|{_WS})?\d{{3,5}}')) as p from {_DOCS} t) x
-          where length(regexp_replace(p, '\D', '', 'g')) between 8 and 15""",
+        "t1_emails": f"select doc_id, email from ({mails(_DOCS)}) m",
+        "t2_phones": numbers(_TEXTS),
         "t3_links": rf"""select src, doc_id, coalesce(regexp_extract(text, '(?i)(?:https?://)?(?:www\.)?github\.com/[a-zA-Z0-9_-]+'), '') as github, coalesce(regexp_extract(text, '(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/[a-zA-Z0-9_-]+'), '') as linkedin
           from (select 'd' as src, doc_id, text from {_DOCS} t union all select 'p', record_no, concat_ws(' ', replace(links.linkedin, 'example', 'com'), replace(lower(links.github), 'example', 'com')) from output_default) x""",
         "t4_names": f"select doc_id, coalesce({_LINES}[1], '') as full_name from {_DOCS} t",
-        "t5_sections": f"with {_SECTIONS} select doc_id, heading, {joined('block')} as block from sections",
-        "t6_skills": f"""with {_SECTIONS}, tails as (select doc_id, unnest(block) as line, unnest(range(len(block))) as i from sections where heading = 'skills'),
-          parts as (select doc_id, i, unnest(string_split_regex(case when contains(line, ':') then regexp_replace(line, '^[^:]*:', '') else line end, '[,;]')) as p, unnest(range(len(string_split_regex(case when contains(line, ':') then regexp_replace(line, '^[^:]*:', '') else line end, '[,;]')))) as j from tails),
-          kept as (select doc_id, i, j, {strip("p")} as s from parts)
-          select doc_id, (row_number() over (partition by doc_id order by i, j) - 1)::int as pos, regexp_replace(s, '{_WS}+', ' ', 'g') as skill from kept where s <> '' and length(s) < 50""",
-        "t7_locations": f"select profile_id, {place('v', 'city')} as city, {place('v', 'region')} as region, {place('v', 'country')} as country from (select profile_id, {strip('user_profile.location')} as v from github_mock where user_profile.location <> '') t",
-        "t11_headlines": f"""with {_SECTIONS}, base as (select doc_id, {_LINES} as l from {_DOCS} t)
-          select b.doc_id, {strip("replace(coalesce(nullif(array_to_string(s.block, chr(10)), ''), nullif(array_to_string(o.block, chr(10)), ''), case when lower(l[2]) not in (" + _HEAD_IN + ") and length(l[2]) < 100 then l[2] end), chr(10), ' ')")} as headline
-          from base b left join sections s on s.doc_id = b.doc_id and s.heading = 'summary' left join sections o on o.doc_id = b.doc_id and o.heading = 'objective'""",
+        "t5_sections": f"with {sections(_DOCS)} select doc_id, heading, {joined('block')} as block from sections",
+        "t6_skills": f"with {sections(_TEXTS)}, {skills_of()} select src, doc_id, (row_number() over (partition by src, doc_id order by i, j) - 1)::int as pos, skill from kept",
+        "t7_locations": f"""select src, doc_id, {place('v', 'city')} as city, {place('v', 'region')} as region, {place('v', 'country')} as country from (
+          select 'h' as src, profile_id as doc_id, {strip('user_profile.location')} as v from github_mock where user_profile.location <> ''
+          union all select src, doc_id, {strip(f"regexp_extract(text, '{_STATED}', 1)")} from {_TEXTS} t where regexp_matches(text, '{_STATED}')) u""",
+        "t8_places": f"""with {sections(_DOCS)}, {_EDU}, firsts as (select src, doc_id, institution from schooling where pos = 0),
+          schools as (select record_no, concat_ws(', ', education[1].institution, location.city, location.country) as inst from output_default)
+          select t.src, t.doc_id, {", ".join(f"case when regexp_matches(text, '{_STATED}') then {place(strip(f"regexp_extract(text, '{_STATED}', 1)"), part)} else {guessed('f.institution', part) if part != 'region' else "''"} end as {part}" for part in ("city", "region", "country"))}
+          from {_DOCS} t left join firsts f on f.src = t.src and f.doc_id = t.doc_id where text <> ''
+          union all select 'p', record_no, {guessed("inst", "city")}, '', {guessed("inst", "country")} from schools""",
+        "t9_education": f"with {sections(_TEXTS)}, {_EDU} select * from schooling",
+        "t10_projects": f"with {sections(_TEXTS)}, {_PROJECTS} select * from projects",
+        "t11_headlines": f"with {sections(_DOCS)}, base as (select src, doc_id, {_LINES} as l from {_DOCS} t) select doc_id, headline from ({headline('base')}) h",
+        "t12_resume_records": f"""with {sections(_TEXTS)}, {skills_of()}, {_EDU}, {_PROJECTS}, base as (select src, doc_id, text, {_LINES} as l from {_TEXTS} t where text <> ''), heads1 as ({headline('base')}),
+          firsts as (select src, doc_id, institution from schooling where pos = 0),
+          {", ".join(f"{name} as (select src, doc_id, count(*)::int as n from {rows} group by src, doc_id)" for name, rows in (("c1", f"({mails(_TEXTS)}) m"), ("c2", f"(select distinct * from ({numbers(_TEXTS)}) m) m"), ("c3", "kept"), ("c4", "projects"), ("c5", "schooling")))}
+          select case when src = 'd' then doc_id else doc_id + {_GAP} end as ingest_idx, 'resume' as source, coalesce(l[1], '') as full_name, coalesce(c1.n, 0)::int as n_emails, coalesce(c2.n, 0)::int as n_phones,
+          {", ".join(f"case when regexp_matches(text, '{_STATED}') then {place(strip(f"regexp_extract(text, '{_STATED}', 1)"), part)} else {guessed('f.institution', part)} end as {part}" for part in ("city", "country"))},
+          headline, coalesce(c3.n, 0)::int as n_skills, coalesce(c4.n, 0)::int as n_jobs, coalesce(c5.n, 0)::int as n_education
+          from base left join heads1 using (src, doc_id) left join firsts f using (src, doc_id) {" ".join(f"left join c{k} using (src, doc_id)" for k in range(1, 6))}""",
         "n1_phones": f"select csv_row_id, e164 as phone from {phone('sample_csv', 'phone', 'csv_row_id')} t",
         "n2_dates": f"select record_no, pos::int as pos, {date('x.start_month')} as start_month, {date('x.end_month')} as end_month from (select record_no, unnest(experience) as x, unnest(range(len(experience))) as pos from output_default) t",
         "n3_countries": f"select record_no, {country('location.country')} as country from output_default",
