@@ -1,14 +1,14 @@
 """Merging the records of each group into one canonical profile, by source trust.
 
-Each rule is an aggregate of its own: scalars by ``min_by`` over the trust order, lists by a
-keep-first deduplication (grouped by group and key, which combines before the shuffle) before
-they are collected, so what a task collects for a group is only what the profile will hold.
+Scalars are one aggregate over the trust order (``scalars``). All lists are another (``lists``):
+their elements are laid out as rows of one form, deduplicated keep-first by group, kind and key,
+which combines before the shuffle, and only then collected, so what a task collects for a group
+is only what the profile will hold. A profile costs three shuffles, and no group is in one task
+before it is deduplicated.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +16,7 @@ from unifold.functions.normalize import is_missing, normalize_country, normalize
 from unifold.functions.text import strip
 from unifold.functions.trust import trust_weight
 from unifold.operators.resolve import email_keys, phone_keys
-from unifold.schemas import CANONICAL_FIELDS, EDUCATION, EXPERIENCE, LINKS, LOCATION, PROVENANCE
+from unifold.schemas import CANONICAL_FIELDS, EDUCATION, EXPERIENCE, LINKS, LOCATION, PROVENANCE, SKILLS
 
 GROUP = "component_id"
 
@@ -52,55 +52,73 @@ def scalars(base: DataFrame) -> DataFrame:
     )
 
 
-def sorted_union(base: DataFrame, keys: Column, name: str) -> DataFrame:
-    """One row per group with the sorted distinct keys."""
-    each = base.select(GROUP, F.explode(keys).alias("k")).distinct()
-    return each.groupBy(GROUP).agg(F.array_sort(F.collect_list("k")).alias(name))
+_ELEMENT = f"array<struct<kind:string,k1:string,k2:string,pos:int,job:{EXPERIENCE[6:-1]},school:{EDUCATION[6:-1]},confidence:double,source:string>>"
 
 
-def ordered_union(base: DataFrame, values: Column, name: str) -> DataFrame:
-    """One row per group with the distinct values in the order of their first appearance."""
-    each = base.select(GROUP, "rk", F.posexplode(values).alias("pos", "v")).where("v is not null and v <> ''")
-    first = each.groupBy(GROUP, "v").agg(F.min(F.struct("rk", "pos")).alias("at"))
-    return first.groupBy(GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
+def elements(as_of: str | None) -> Column:
+    """All list elements of a ranked record in one form: kind, key, place, value.
 
+    Keys of jobs and education are compared stripped and in lower case; elements whose key is
+    empty are left out.
+    """
+    source = F.coalesce("source", F.lit("unknown"))
 
-def keep_first(base: DataFrame, array: str, keys: tuple[str, str], row: Column, name: str) -> DataFrame:
-    """One row per group with the entries of an array column, each key pair once, in order.
+    def each(kind: str, values: Column, key, second=None, **members) -> Column:
+        def element(x: Column, i: Column) -> Column:
+            given = {n: fn(x) for n, fn in members.items()}
+            missing = {n: F.lit(None).cast(t) for n, t in (("job", EXPERIENCE[6:-1]), ("school", EDUCATION[6:-1]), ("confidence", "double"), ("source", "string")) if n not in given}
+            rest = {**given, **missing}
+            return F.struct(F.lit(kind).alias("kind"), key(x).alias("k1"), (second(x) if second else F.lit("")).alias("k2"), i.alias("pos"), *(rest[n].alias(n) for n in ("job", "school", "confidence", "source")))
 
-    Keys are compared stripped and in lower case; entries whose first key is empty are skipped.
-    """
-    each = base.select(GROUP, "rk", F.posexplode(array).alias("pos", "x"))
-    k1, k2 = (F.lower(_text(F.col(f"x.{k}"))) for k in keys)
-    each = each.select(GROUP, F.struct("rk", "pos").alias("at"), k1.alias("k1"), k2.alias("k2"), row.alias("row")).where("k1 <> ''")
-    first = each.groupBy(GROUP, "k1", "k2").agg(F.min("at").alias("at"), F.min_by("row", "at").alias("row"))
-    return first.groupBy(GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "k1", "k2", "row")), _by_at), lambda x: x["row"]).alias(name))
+        return F.filter(F.transform(values, element), lambda x: x["k1"] != "").cast(_ELEMENT)
 
+    def low(name: str):
+        return lambda x: F.lower(_text(x[name]))
 
-def _by_at(a: Column, b: Column) -> Column:
-    return F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    def job(x: Column) -> Column:
+        return F.struct(_text(x["company"]).alias("company"), _text(x["title"]).alias("title"), normalize_date(x["start"], as_of).alias("start"), normalize_date(x["end"], as_of).alias("end"), _text(x["summary"]).alias("summary"))
 
+    def school(x: Column) -> Column:
+        return F.struct(*(_text(x[n]).alias(n) for n in ("institution", "degree", "field")), x["end_year"].alias("end_year"))
 
-def experience_union(base: DataFrame, as_of: str | None) -> DataFrame:
-    row = F.struct(
-        _text(F.col("x.company")).alias("company"), _text(F.col("x.title")).alias("title"), normalize_date(F.col("x.start"), as_of).alias("start"),
-        normalize_date(F.col("x.end"), as_of).alias("end"), _text(F.col("x.summary")).alias("summary"),
-    )
-    return keep_first(base, "experience", ("company", "title"), row, "experience")
+    def some(name: str, kind: str) -> Column:
+        return F.coalesce(F.col(name), F.array().cast(kind))
 
+    itself = lambda x: x
+    return F.concat(
+        each("email", email_keys(F.col("emails")), itself),
+        each("phone", phone_keys(F.col("phones")), itself),
+        each("other", some("links.other", "array<string>"), itself),
+        each("job", some("experience", EXPERIENCE), low("company"), low("title"), job=job),
+        each("school", some("education", EDUCATION), low("institution"), low("degree"), school=school),
+        each("skill", some("skills", SKILLS), lambda x: normalize_skill(x["name"]), confidence=lambda x: F.coalesce(x["confidence"], F.col("weight")), source=lambda x: source),
+    )
 
-def education_union(base: DataFrame) -> DataFrame:
-    row = F.struct(*(_text(F.col(f"x.{n}")).alias(n) for n in ("institution", "degree", "field")), F.col("x.end_year").alias("end_year"))
-    return keep_first(base, "education", ("institution", "degree"), row, "education")
 
+def lists(base: DataFrame, as_of: str | None = None) -> DataFrame:
+    """One row per group that has any element: emails, phones, other, experience, education, skills.
 
-def skills_union(base: DataFrame) -> DataFrame:
-    """Skills by normalised name: highest confidence, sorted sources, order of first appearance."""
-    source = F.coalesce("source", F.lit("unknown"))
-    each = base.select(GROUP, "rk", "weight", source.alias("s"), F.posexplode("skills").alias("pos", "x"))
-    each = each.select(GROUP, normalize_skill(F.col("x.name")).alias("name"), F.coalesce("x.confidence", "weight").alias("c"), "s", F.struct("rk", "pos").alias("at")).where("name <> ''")
-    best = each.groupBy(GROUP, "name").agg(F.max("c").alias("confidence"), F.array_sort(F.collect_set("s")).alias("sources"), F.min("at").alias("at"))
-    return best.groupBy(GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name", "confidence", "sources"))), lambda x: F.struct(x["name"].alias("name"), x["confidence"].alias("confidence"), x["sources"].alias("sources"))).alias("skills"))
+    E-mails and phones are sorted; the others stand in the order of their first appearance, by
+    trust. A skill has its highest confidence and its sorted sources.
+    """
+    rows = base.select(GROUP, "rk", F.explode(elements(as_of)).alias("x")).select(GROUP, F.struct("rk", "x.pos").alias("at"), "x.*")
+    once = rows.groupBy(GROUP, "kind", "k1", "k2").agg(
+        F.min("at").alias("at"), F.min_by("job", "at").alias("job"), F.min_by("school", "at").alias("school"),
+        F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("source")).alias("sources"),
+    )
+
+    def ordered(kind: str, value: Column) -> Column:
+        kept = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", value.alias("v")))))
+        return F.transform(kept, lambda x: x["v"])
+
+    def keys(kind: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("k1"))))
+
+    skill = F.struct(F.col("k1").alias("name"), "confidence", "sources")
+    return once.groupBy(GROUP).agg(
+        keys("email").alias("emails"), keys("phone").alias("phones"), ordered("other", F.col("k1")).alias("other"),
+        ordered("job", F.col("job")).alias("experience"), ordered("school", F.col("school")).alias("education"), ordered("skill", skill).alias("skills"),
+    )
 
 
 def worked_years(experience: Column) -> Column:
@@ -123,17 +141,7 @@ def merge_records(records: DataFrame, as_of: str | None = None) -> DataFrame:
     means. Profiles without an e-mail get a random id, others one made from the first address.
     """
     base = ranked(records)
-    no_strings = F.array().cast("array<string>")
-    parts = [
-        scalars(base),
-        sorted_union(base, email_keys(F.col("emails")), "emails"),
-        sorted_union(base, phone_keys(F.col("phones")), "phones"),
-        ordered_union(base, F.coalesce(F.col("links.other"), no_strings), "other"),
-        experience_union(base, as_of),
-        education_union(base),
-        skills_union(base),
-    ]
-    m = reduce(lambda a, b: a.join(b, GROUP, "left"), parts)
+    m = scalars(base).join(lists(base, as_of), GROUP, "left")
     for name, kind in (("emails", "array<string>"), ("phones", "array<string>"), ("other", "array<string>"), ("experience", EXPERIENCE), ("education", EDUCATION), ("skills", "array<struct<name:string,confidence:double,sources:array<string>>>")):
         m = m.withColumn(name, F.coalesce(name, F.array().cast(kind)))
     located = (F.col("city") != "") | (F.col("region") != "") | (F.col("country") != "")

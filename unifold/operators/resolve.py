@@ -1,8 +1,10 @@
 """Entity resolution: records that share an e-mail, a phone or a handle, directly or in a chain.
 
-Records are never compared in pairs. Identifiers are exploded to (kind, key) hubs; labels run
-from records to hubs and back, each taking the smallest it meets, with a shortcut through the
-labels' own labels, until none changes. A hub of any size costs one pre-aggregated row a task.
+Records are never compared in pairs. Each identifier hangs its records from the smallest of
+them; each round every record takes the smallest label it is tied to, labels follow their own
+labels to the end, and the ties are rewritten to labels, where most of them vanish. A hot
+identifier costs one pre-aggregated row a task, and its records lose their ties to it in the
+first round.
 """
 
 from __future__ import annotations
@@ -41,23 +43,39 @@ def identifiers(records: DataFrame, handle=github_handle) -> DataFrame:
 def resolve_entities(records: DataFrame, handle=github_handle, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Add ``component_id``, the smallest ``ingest_idx`` of the record's group.
 
-    A record without identifiers is its own group. Raises if the labels still change after
-    ``max_rounds`` rounds; each round at least doubles the distance a label has travelled.
+    A record without identifiers is its own group. Raises if ties are left after ``max_rounds``
+    rounds; the number of groups at least halves in each.
     """
     hubs = cut_lineage(identifiers(records, handle))
-    labels = cut_lineage(records.select("ingest_idx", F.col("ingest_idx").alias("label")).distinct())
+    lowest = hubs.groupBy("kind", "key").agg(F.min("ingest_idx").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ties = cut_lineage(hubs.join(lowest, ["kind", "key"]).where("ingest_idx <> low").select(F.col("ingest_idx").alias("hi"), F.col("low").alias("lo")).distinct())
+    told: DataFrame | None = None
     for _ in range(max_rounds):
-        low = hubs.join(labels, "ingest_idx").groupBy("kind", "key").agg(F.min("label").alias("low"))
-        seen = hubs.join(low, ["kind", "key"]).groupBy("ingest_idx").agg(F.min("low").alias("low"))
-        # What a record learns its label learns too, so that whole groups move at once.
-        heard = labels.join(seen, "ingest_idx").select(F.explode(F.array("ingest_idx", "label")).alias("ingest_idx"), "low")
-        seen = heard.groupBy("ingest_idx").agg(F.min("low").alias("low"))
-        met = labels.join(seen, "ingest_idx", "left").withColumn("new", F.least("label", F.coalesce("low", "label")))
-        met = cut_lineage(met)
-        up = met.select(F.col("ingest_idx").alias("new"), F.col("new").alias("up"))
-        new = cut_lineage(met.join(up, "new", "left").select("ingest_idx", F.col("label").alias("was"), F.least("new", F.coalesce("up", "new")).alias("label")))
-        changed = not new.where("label <> was").isEmpty()
-        labels = new.select("ingest_idx", "label")
-        if not changed:
-            return records.join(labels.withColumnRenamed("label", "component_id"), "ingest_idx")
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        if ties.isEmpty():
+            break
+        both = ties.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("other")), F.struct(F.col("lo").alias("node"), F.col("hi").alias("other")))).alias("t"))
+        label = _followed(cut_lineage(both.groupBy("t.node").agg(F.min("t.other").alias("other")).select("node", F.least("node", "other").alias("label"))))
+        high, low = label.select(F.col("node").alias("hi"), F.col("label").alias("h")), label.select(F.col("node").alias("lo"), F.col("label").alias("l"))
+        ties = cut_lineage(ties.join(high, "hi").join(low, "lo").where("h <> l").select(F.greatest("h", "l").alias("hi"), F.least("h", "l").alias("lo")).distinct())
+        if told is None:
+            told = label
+        else:
+            later = label.select(F.col("node").alias("label"), F.col("label").alias("now"))
+            told = cut_lineage(told.join(later, "label", "left").select("node", F.coalesce("now", "label").alias("label")))
+    else:
+        raise RuntimeError(f"ties are left after {max_rounds} rounds")
+    if told is None:
+        return records.withColumn("component_id", F.col("ingest_idx"))
+    found = told.select(F.col("node").alias("ingest_idx"), "label")
+    return records.join(found, "ingest_idx", "left").withColumn("component_id", F.coalesce("label", "ingest_idx")).drop("label")
+
+
+def _followed(label: DataFrame) -> DataFrame:
+    """Labels replaced by their labels, twice a pass, until each is its own."""
+    while True:
+        up = label.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        once = label.join(up, "label").select("node", F.col("label").alias("was"), F.col("up").alias("label"))
+        new = cut_lineage(once.join(up, "label").select("node", "was", F.col("up").alias("label")))
+        label = new.select("node", "label")
+        if new.where("label <> was").isEmpty():
+            return label

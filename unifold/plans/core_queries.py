@@ -225,35 +225,32 @@ def a1_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 def a2_emails(spark: SparkSession, d: str) -> DataFrame:
     """Sorted distinct addresses of each group, the first of them, and numbers."""
-    base = M.ranked(by_town(spark, d))
-    e = M.sorted_union(base, M.email_keys(F.col("emails")), "emails")
-    p = M.sorted_union(base, M.phone_keys(F.col("phones")), "phones")
-    return e.join(p, M.GROUP, "full").select(M.GROUP, _joined(F.col("emails")).alias("emails"), F.array_min("emails").alias("first_email"), _joined(F.col("phones")).alias("phones"))
+    found = M.lists(M.ranked(by_town(spark, d))).where((F.size("emails") > 0) | (F.size("phones") > 0))
+    return found.select(M.GROUP, _joined(F.col("emails")).alias("emails"), F.array_min("emails").alias("first_email"), _joined(F.col("phones")).alias("phones"))
 
 
 def a3_places_and_links(spark: SparkSession, d: str) -> DataFrame:
     """Location and links, property by property (A3, A4)."""
     base = M.ranked(by_town(spark, d))
-    other = M.ordered_union(base, F.coalesce(F.col("links.other"), F.array().cast("array<string>")), "other")
-    s = M.scalars(base).join(other, M.GROUP, "left")
+    s = M.scalars(base).join(M.lists(base).select(M.GROUP, "other"), M.GROUP, "left")
     return s.select(M.GROUP, "city", "region", "country", "linkedin", "github", "portfolio", _joined(F.col("other")).alias("other"))
 
 
 def a5_experience(spark: SparkSession, d: str) -> DataFrame:
     """Jobs of each group, each company and title once, in order."""
-    e = M.experience_union(M.ranked(by_town(spark, d)), AS_OF).select(M.GROUP, F.posexplode("experience").alias("pos", "x"))
+    e = M.lists(M.ranked(by_town(spark, d)), AS_OF).select(M.GROUP, F.posexplode("experience").alias("pos", "x"))
     return e.select(M.GROUP, "pos", "x.*")
 
 
 def a6_education(spark: SparkSession, d: str) -> DataFrame:
     """Education of each group, each institution and degree once, in order."""
-    e = M.education_union(M.ranked(by_town(spark, d))).select(M.GROUP, F.posexplode("education").alias("pos", "x"))
+    e = M.lists(M.ranked(by_town(spark, d))).select(M.GROUP, F.posexplode("education").alias("pos", "x"))
     return e.select(M.GROUP, "pos", "x.*")
 
 
 def a7_skills(spark: SparkSession, d: str) -> DataFrame:
     """Skills of each group with confidence and sources, in order."""
-    e = M.skills_union(M.ranked(by_town(spark, d))).select(M.GROUP, F.posexplode("skills").alias("pos", "x"))
+    e = M.lists(M.ranked(by_town(spark, d))).select(M.GROUP, F.posexplode("skills").alias("pos", "x"))
     return e.select(M.GROUP, "pos", "x.name", "x.confidence", _joined(F.col("x.sources")).alias("sources"))
 
 

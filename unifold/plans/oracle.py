@@ -162,7 +162,7 @@ _PROJECTS = rf"""
   entries as (select *, sum(contains(line, '|')::int) over (partition by src, doc_id order by i) as k from work_lines),
   projects as (select src, doc_id, (k - 1)::int as pos, 'Personal/Academic Project' as company,
     regexp_replace({strip("split_part(min_by(line, i), '|', 1)")}, '({_WORD}){_WS}+({_WORD})', '\1\2', 'g') as title,
-    'Technologies: ' || {strip("regexp_replace(min_by(line, i), '(?s)^[^|]*\|', '')")} || '. ' ||
+    'Technologies: ' || {strip("regexp_replace(min_by(line, i), '(?s)^[^|]*[|]', '')")} || '. ' ||
     coalesce(string_agg(case when regexp_matches(line, '^[?•-]') then {strip("substr(line, 2)")} else line end || ' ', '' order by i) filter (where not contains(line, '|')), '') as summary
     from entries where k > 0 group by src, doc_id, k)"""
 
