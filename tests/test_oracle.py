@@ -38,8 +38,3 @@ def test_same_rows(spark, small, engine, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_queries_without_sql_run(spark, small):
-    for name in ("a8_profiles", "profile_pipeline"):
-        entry.queries()[name](spark, small).count()

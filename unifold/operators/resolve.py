@@ -33,11 +33,12 @@ def phone_keys(phones: Column) -> Column:
 
 def identifiers(records: DataFrame, handle=github_handle) -> DataFrame:
     """(ingest_idx, kind, key) of every identifier; kinds never mix, names aren't used."""
-    def each(kind: str, keys: Column) -> DataFrame:
-        return records.select("ingest_idx", F.lit(kind).alias("kind"), F.explode(F.array_distinct(keys)).alias("key"))
+    def each(kind: str, keys: Column) -> Column:
+        return F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
 
     handles = F.filter(F.array(handle(F.col("links.github"))), lambda h: h.isNotNull())
-    return each("email", email_keys(F.col("emails"))).union(each("phone", phone_keys(F.col("phones")))).union(each("github", handles))
+    every = F.concat(each("email", email_keys(F.col("emails"))), each("phone", phone_keys(F.col("phones"))), each("github", handles))
+    return records.select("ingest_idx", F.explode(every).alias("x")).select("ingest_idx", "x.kind", "x.key")
 
 
 def resolve_entities(records: DataFrame, handle=github_handle, max_rounds: int = MAX_ROUNDS) -> DataFrame:

@@ -208,6 +208,40 @@ def text(x: str) -> str:
     return f"coalesce({strip(x)}, '')"
 
 
+def merged() -> str:
+    """CTEs that merge the rows of ``ranked`` into ``m``, one row per component."""
+    parts = (("city", text("location.city")), ("region", text("location.region")), ("country", country("location.country")), ("linkedin", text("links.linkedin")), ("github", text("links.github")), ("portfolio", text("links.portfolio")))
+    picked = ", ".join(f"coalesce({first(x, f'coalesce({x}, $q$$q$) <> $q$$q$')}, '') as {n}" for n, x in parts)
+    months = "greatest(coalesce((left(t, 4)::int * 12 + right(t, 2)::int) - (left(f, 4)::int * 12 + right(f, 2)::int), 0), 0)"
+    entries = [
+        ("name_s is not null", "full_name", "name_s", "source_trust_hierarchy"), ("n_mails > 0", "emails", "prime", "union_all_sources"), ("n_phones > 0", "phones", "prime", "union_all_sources"),
+        ("located", "location", "prime", "merge_properties"), ("linked", "links", "prime", "merge_properties"), ("head_s is not null", "headline", "head_s", "source_trust_hierarchy"),
+        ("years_s is not null", "years_experience", "years_s", "source_trust_hierarchy"), ("repos_s is not null", "repository_count", "repos_s", "source_trust_hierarchy"),
+        ("n_jobs > 0", "experience", "prime", "union_all_sources"), ("computed", "years_experience", "'calculated'", "date_diff_sum"), ("n_schools > 0", "education", "prime", "union_all_sources"), ("n_skills > 0", "skills", "prime", "merge_properties"),
+    ]
+    named = ", ".join(f"case when {c} then '{f}/' || {s} || '/{m}' end" for c, f, s, m in entries)
+    weights = ", ".join(f"case when {c} then {weight(s)} end" for c, _, s, _ in entries)
+    flags = ("name_s is not null", "n_mails > 0", "n_phones > 0", "located", "linked", "head_s is not null", "n_skills > 0", "n_jobs > 0", "n_schools > 0")
+    complete = "(" + " + ".join(f"({f})::int" for f in flags) + ") / 9.0::double"
+    return f"""
+  s1 as (select component_id, arg_min(source, {_RK}) as prime, {first("full_name", "full_name <> ''")} as full_name, {first("source", "full_name <> ''")} as name_s, {first("source", "headline <> ''")} as head_s,
+    {first("years_experience", "years_experience is not null")} as given, {first("source", "years_experience is not null")} as years_s, {first("repository_count", "repository_count is not null")} as repository_count, {first("source", "repository_count is not null")} as repos_s, {picked} from ranked group by component_id),
+  m_mails as (select component_id, list_sort(list(distinct k)) as emails from (select component_id, unnest({_EMAILS}) as k from ranked) t group by component_id),
+  m_phones as (select component_id, list_sort(list(distinct e164)) as phones from {phone("(select component_id, unnest(phones) as phone from ranked) t", "phone", "component_id")} x where e164 is not null group by component_id),
+  m_other as (select component_id, count(distinct v) as n_other from (select component_id, unnest(links.other) as v from ranked) t where v <> '' group by component_id),
+  m_job1 as (select component_id, weight, idx, unnest(experience) as x, unnest(range(len(experience))) as pos from ranked),
+  m_job2 as (select component_id, {date("x.start_month")} as f, {date("x.end_month")} as t, row_number() over (partition by component_id, lower({text("x.company")}), lower({text("x.title")}) order by -weight, idx, pos) as rn from m_job1 where {text("x.company")} <> ''),
+  m_jobs as (select component_id, count(*) as n_jobs, sum({months}) as months from m_job2 where rn = 1 group by component_id),
+  m_schools as (select component_id, count(distinct [lower({text("x.institution")}), lower({text("x.degree")})]) as n_schools from (select component_id, unnest(education) as x from ranked) t where {text("x.institution")} <> '' group by component_id),
+  m_skills as (select component_id, count(distinct {skill("x.name")}) as n_skills from (select component_id, unnest(skills) as x from ranked) t where {skill("x.name")} <> '' group by component_id),
+  m1 as (select s1.*, coalesce(emails, []) as emails, coalesce(phones, []) as phones, coalesce(len(emails), 0) as n_mails, coalesce(len(phones), 0) as n_phones, coalesce(n_jobs, 0) as n_jobs, coalesce(n_schools, 0) as n_schools, coalesce(n_skills, 0) as n_skills,
+    city <> '' or region <> '' or country <> '' as located, linkedin <> '' or github <> '' or portfolio <> '' or coalesce(n_other, 0) > 0 as linked, case when months > 0 then round_even(months / 12.0::double, 1) end as worked
+    from s1 left join m_mails using (component_id) left join m_phones using (component_id) left join m_other using (component_id) left join m_jobs using (component_id) left join m_schools using (component_id) left join m_skills using (component_id)),
+  m2 as (select *, coalesce(given, 0) = 0 and worked is not null as computed from m1),
+  m3 as (select *, list_filter([{named}], lambda x: x is not null) as provenance, list_filter([{weights}], lambda x: x is not null) as weights from m2),
+  m as (select *, case when computed then worked else given end as years, round_even({complete} * case when len(weights) > 0 then list_sum(weights) / len(weights) else 0.5 end, 2) as confidence from m3)"""
+
+
 _KEYS = f"""
   raw as (
     select csv_row_id as idx, {strip("email")} as email, {strip("phone")} as phone, null as handle from sample_csv
@@ -223,6 +257,19 @@ _KEYS = f"""
 _ALL_IDS = f"select csv_row_id as idx from sample_csv union all select record_no + {_GAP} from output_default union all select profile_id + {2 * _GAP} from github_mock"
 
 
+_LANGS = f"list_filter(list_transform(coalesce(repos, []), lambda r: {strip('r.repo_language')}), lambda x: x is not null and x <> '')"
+_HOST_PLACE = ", ".join(f"{part} := case when coalesce(u.location, '') <> '' then {place(strip('u.location'), part)} else '' end" for part in ("city", "region", "country"))
+#: Rows of the three tables in one form.
+_RAW = f"""
+  rows_of_all as (
+    select csv_row_id as idx, 'recruiter_csv' as source, {text("name")} as full_name, [{text("email")}] as emails, [{text("phone")}] as phones, null as location, null as links, null as headline, null::double as years_experience, null as skills,
+      case when {text("current_company")} <> '' or {text("title")} <> '' then [struct_pack(company := {text("current_company")}, title := {text("title")}, start_month := null::varchar, end_month := 'Present', summary := 'x')] end as experience, null as education, null::int as repository_count from sample_csv
+    union all select record_no + {_GAP}, coalesce(provenance[1].source, 'unknown'), full_name, emails, phones, location, links, headline, years_experience, list_transform(skills, lambda x: struct_pack(name := x.name, confidence := x.confidence)), experience, education, repository_count from output_default
+    union all select profile_id + {2 * _GAP}, 'github', case when coalesce(u.name, '') <> '' then {strip("u.name")} else coalesce(u.login, '') end, [{text("u.email")}], [], struct_pack({_HOST_PLACE}),
+      struct_pack(linkedin := '', github := coalesce(u.html_url, 'https://github.com/' || coalesce(u.login, '')), portfolio := {text("u.blog")}, other := []::varchar[]), case when coalesce(u.bio, '') <> '' then u.bio end, null,
+      list_transform(langs, lambda x: struct_pack(name := x, confidence := null::double)), null, null, coalesce(u.public_repos, len(coalesce(repos, []))) from (select profile_id, user_profile as u, repos, {_LANGS} as langs from github_mock where user_profile is not null) t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     lower_title = f"{text('current_company')} <> '' or {text('title')} <> ''"
     langs = f"list_filter(list_transform(coalesce(repos, []), lambda r: {strip('r.repo_language')}), lambda x: x is not null and x <> '')"
@@ -291,6 +338,14 @@ def oracle_sql() -> dict[str, str]:
           select component_id, (row_number() over (partition by component_id order by -weight, idx, pos) - 1)::int as pos, {text("x.institution")} as institution, {text("x.degree")} as degree, {text("x.field")} as field, x.end_year as end_year from k where rn = 1""",
         "a7_skills": f"""with {_TOWN}, j as ({skills}), g as (select component_id, {skill("x.name")} as name, max(coalesce(x.confidence, weight)) as confidence, list_sort(list(distinct source)) as sources, min({order}) as seen from j group by component_id, {skill("x.name")})
           select component_id, (row_number() over (partition by component_id order by seen) - 1)::int as pos, name, confidence, {joined("sources")} as sources from g where name <> ''""",
+        "a8_profiles": f"with {_TOWN}, {merged()} select component_id, years as years_experience, {joined('provenance')} as provenance, confidence as overall_confidence from m",
+        "profile_pipeline": f"""with recursive {_KEYS}, {_RAW}, ids as (select idx from rows_of_all),
+          edges as (select distinct a.idx as a, b.idx as b from keyed a join (select kind, key, min(idx) as idx from keyed group by kind, key) b on a.kind = b.kind and a.key = b.key),
+          both_ways as (select a, b from edges union select b, a from edges),
+          reach as (select idx as a, idx as b from ids union select r.a, e.b from reach r join both_ways e on r.b = e.a),
+          comps as (select a as idx, min(b) as component_id from reach group by a),
+          ranked as (select r.*, component_id, {weight("source")} as weight from rows_of_all r join comps using (idx)), {merged()}
+          select component_id, coalesce(full_name, '') as full_name, {joined('emails')} as emails, {joined('phones')} as phones, country, n_jobs::int as n_jobs, n_skills::int as n_skills, repository_count, confidence as overall_confidence from m""",
         "project_projection": f"""select full_name, emails[1] as primary_email, p.e164 as phone, {joined("case when len(skills) > 0 then list_transform(skills, lambda s: " + skill("s.name") + ") end")} as skills, coalesce(overall_confidence, 0.0) as overall_confidence
           from output_default o left join {phone("(select record_no, phones[1] as phone from output_default) t", "phone", "record_no")} p using (record_no) where full_name <> '' and emails[1] <> ''""",
         "project_required_missing": "select candidate_id, full_name, '''' || case when coalesce(full_name, '') = '' then 'full_name' else 'primary_email' end || ''' is required and missing' as reason from output_default where coalesce(full_name, '') = '' or coalesce(emails[1], '') = ''",
