@@ -57,12 +57,13 @@ def resolve_entities(records: DataFrame, handle=github_handle, max_rounds: int =
         both = ties.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("other")), F.struct(F.col("lo").alias("node"), F.col("hi").alias("other")))).alias("t"))
         label = _followed(cut_lineage(both.groupBy("t.node").agg(F.min("t.other").alias("other")).select("node", F.least("node", "other").alias("label"))))
         high, low = label.select(F.col("node").alias("hi"), F.col("label").alias("h")), label.select(F.col("node").alias("lo"), F.col("label").alias("l"))
-        ties = cut_lineage(ties.join(high, "hi").join(low, "lo").where("h <> l").select(F.greatest("h", "l").alias("hi"), F.least("h", "l").alias("lo")).distinct())
+        left = ties.join(high, "hi").join(low, "lo").where("h <> l").select(F.greatest("h", "l").alias("hi"), F.least("h", "l").alias("lo")).distinct()
+        ties = cut_lineage(left, (ties,))
         if told is None:
             told = label
         else:
             later = label.select(F.col("node").alias("label"), F.col("label").alias("now"))
-            told = cut_lineage(told.join(later, "label", "left").select("node", F.coalesce("now", "label").alias("label")))
+            told = cut_lineage(told.join(later, "label", "left").select("node", F.coalesce("now", "label").alias("label")), (told, label))
     else:
         raise RuntimeError(f"ties are left after {max_rounds} rounds")
     if told is None:
@@ -76,7 +77,8 @@ def _followed(label: DataFrame) -> DataFrame:
     while True:
         up = label.select(F.col("node").alias("label"), F.col("label").alias("up"))
         once = label.join(up, "label").select("node", F.col("label").alias("was"), F.col("up").alias("label"))
-        new = cut_lineage(once.join(up, "label").select("node", "was", F.col("up").alias("label")))
+        new = cut_lineage(once.join(up, "label").select("node", "was", F.col("up").alias("label")), (label,))
         label = new.select("node", "label")
+        label._checkpoint_file = new._checkpoint_file
         if new.where("label <> was").isEmpty():
             return label

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,23 +17,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
     A folder that is set already, or named in ``spark.checkpoint.dir``, is used as it is (on a
-    cluster it is shared by all executors). Only where neither exists, as in local tests, a
-    temporary folder is made.
+    cluster it is shared by all executors). Where neither exists a local session gets a temporary
+    one; on a cluster that is an error, since a machine-local folder would not be shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="unifold-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written files.
 
     Survives the loss of any executor: the files are in the shared folder, unlike a local
-    checkpoint, whose only copy is on the executor that computed it.
+    checkpoint, whose only copy is on the executor that computed it. Once they are written, the
+    files of the frames in ``instead_of``, which nothing must need any more, are deleted.
 
     A checkpointed frame keeps the size estimate of the plan it came from. In a loop of joins the
     estimates multiply every round, until the planner computes with numbers of millions of digits;
@@ -41,5 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     saved = df.checkpoint(eager=True)._jdf
-    fresh = spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False)
-    return DataFrame(fresh, spark)
+    fresh = DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
+    written = saved.logicalPlan().rdd().getCheckpointFile()
+    fresh._checkpoint_file = written.get() if written.isDefined() else None
+    for old in instead_of:
+        path = getattr(old, "_checkpoint_file", None)
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            old._checkpoint_file = None
+    return fresh
