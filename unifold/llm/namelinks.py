@@ -29,7 +29,7 @@ from unifold.llm.personnames import GivenNames, readings, segments, without_umla
 from unifold.runtime import cut_lineage
 
 RADIUS = 2  # slips; a swap of neighbours is one slip and two Levenshtein edits
-BAND = 2
+BAND = 4
 LEARN_SHARE = 5e-4
 LEARN_PARTNERS = 20
 CELL = 20_000
