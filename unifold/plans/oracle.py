@@ -239,7 +239,7 @@ def merged() -> str:
     from s1 left join m_mails using (component_id) left join m_phones using (component_id) left join m_other using (component_id) left join m_jobs using (component_id) left join m_schools using (component_id) left join m_skills using (component_id)),
   m2 as (select *, coalesce(given, 0) = 0 and worked is not null as computed from m1),
   m3 as (select *, list_filter([{named}], lambda x: x is not null) as provenance, list_filter([{weights}], lambda x: x is not null) as weights from m2),
-  m as (select *, case when computed then worked else given end as years, round_even({complete} * case when len(weights) > 0 then list_sum(weights) / len(weights) else 0.5 end, 2) as confidence from m3)"""
+  m as (select *, case when computed then worked else given end as years, format('{{:.2f}}', {complete} * case when len(weights) > 0 then list_sum(weights) / len(weights) else 0.5 end)::double as confidence from m3)"""
 
 
 _KEYS = f"""
