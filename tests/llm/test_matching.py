@@ -5,9 +5,10 @@ import random
 import numpy as np
 
 from unifold.llm.linkage import admm, firm_key, ground, link_people
-from unifold.llm.metric import BKTree, distances, encode, levenshtein, pair_distances, typing_cost
+from unifold.llm import namelinks
+from unifold.llm.metric import BKTree, distances, encode, levenshtein, pair_distances, typing_cost, typing_costs
 from unifold.llm.namelinks import linked_names
-from unifold.llm.personnames import GivenNames, readings
+from unifold.llm.personnames import GivenNames, readings, without_umlauts
 from unifold.llm.refmap import Matcher, map_values, reference_entries
 
 
@@ -234,3 +235,37 @@ def test_confidences_do_not_depend_on_partitions(spark):
         assert sorted(map(tuple, soft_matches(df).collect())) == one
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_batched_slips():
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcé") for _ in range(r.randrange(0, 10)))
+    pairs = [(word(), word()) for _ in range(400)]
+    edits, cost = typing_costs(*map(list, zip(*pairs)))
+    assert [(e, c / 10) for e, c in zip(edits.tolist(), cost.tolist())] == [(e, round(c, 1)) for e, c in (typing_cost(a, b) for a, b in pairs)]
+    assert [len(x) for x in typing_costs([], [])] == [0, 0]
+
+
+def test_cells_compare_few_pairs(monkeypatch):
+    """Originals as by comparing all pairs, from pairs that grow with the names of a cell; long words and several shares included."""
+    r = random.Random(8)
+    names = {"".join(r.choice(["bra", "ko", "li", "mue", "nor", "pa", "qui", "ste", "tha", "vu"]) for _ in range(r.randrange(3, 6))) for _ in range(1500)} | {"x" + "ab" * 30}
+    for x in sorted(names)[::3]:
+        at = r.randrange(len(x) - 1)
+        names |= {x[:at] + x[at + 1 :], x[:at] + x[at + 1] + x[at] + x[at + 2 :]}
+    ordered = sorted(((r.choice([1, 1, 2, 3, 9]), x) for x in names), key=lambda p: (-p[0], p[1]))
+    n, words = np.array([k for k, _ in ordered]), [x for _, x in ordered]
+    seen = []
+    monkeypatch.setattr(namelinks, "typing_costs", lambda a, b: seen.append(len(a)) or typing_costs(a, b))
+    starts = np.array([0, 700])
+    got = namelinks._parents(words, n, np.ones(len(words), bool), starts)
+    assert sum(seen) < 0.1 * sum(k * k / 2 for k in (700, len(words) - 700))
+    for i in r.sample(range(len(words)), 150):
+        lo, x, reach = 0 if i < 700 else 700, words[i], 2 if len(words[i]) >= 8 else 1
+        umlaut = [y for y in words[lo:i] if without_umlauts(y) == without_umlauts(x)]
+        near = [(*typing_cost(x, words[j]), j) for j in range(lo, i) if n[j] >= 2 * (n[i] - 1) and abs(len(words[j]) - len(x)) <= reach]
+        near = [(e, -n[j], round(10 * c), words[j]) for e, c, j in near if e <= reach]
+        assert got[i] == (umlaut[0] if umlaut else min(near)[3] if near else x)
+    monkeypatch.setattr(namelinks, "FORMS", 20_000)
+    monkeypatch.setattr(namelinks, "BLOCK", 1000)
+    assert namelinks._parents(words, n, np.ones(len(words), bool), starts) == got

@@ -126,6 +126,36 @@ def typing_cost(typed: str, meant: str) -> tuple[int, float]:
     return prev[-1] if prev else big
 
 
+def typing_costs(typed: list[str], meant: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``typing_cost`` of each string to the one beside it; costs in tenths."""
+    if not typed:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, m = encode(typed)
+    b, n = encode(meant)
+    edit, none = 1 << 16, np.zeros(a.shape[1], bool)  # edits above costs: the lesser number has fewer edits, then costs less
+    doubled = [none, *(a[j] == a[j - 1] for j in range(1, len(a)))]
+    added = [np.where(d, edit + 8, edit + 12) for d in doubled]
+    prev2: list = []
+    prev = [np.full(len(m), j * (edit + 12), np.int64) for j in range(len(a) + 1)]
+    last = np.stack(prev)[m, np.arange(len(m))]  # where nothing is meant
+    before: list = []
+    for i in range(1, len(b) + 1):
+        cur = [np.full(len(m), i * (edit + 9), np.int64)]
+        equal = [b[i - 1] == a[j] for j in range(len(a))]
+        for j in range(1, len(a) + 1):
+            same = equal[j - 1]
+            best = np.minimum(prev[j - 1] + np.where(same, 0, edit + 10), np.minimum(prev[j] + (edit + 9), cur[j - 1] + added[j - 1]))
+            if i > 1 and j > 1:
+                swap = equal[j - 2] & before[j - 1] & ~same
+                best = np.where(swap, np.minimum(best, prev2[j - 2] + (edit + 8)), best)
+            cur.append(best)
+        prev2, prev, before = prev, cur, equal
+        ends = np.flatnonzero(n == i)
+        if len(ends):
+            last[ends] = np.stack(cur)[m[ends], ends]
+    return last >> 16, last & 0xFFFF
+
+
 class BKTree:
     """A Burkhard-Keller tree over distinct strings under the Levenshtein distance."""
 

@@ -9,9 +9,10 @@ where neither is known, so such a name has both readings. Within a pivot, cells
 family name's length, which is its distance from the empty name; by the triangle inequality two
 names within ``RADIUS`` slips differ by at most ``RADIUS`` in length, so names near a band's
 boundary are replicated into the next. Inside each cell an exact radius join on the family names
-finds the rarer spellings' originals: words that share too few letters aside, the Levenshtein
-distance, at most twice the slips, then the slips themselves. A cell of more than ``CELL`` names
-is shared by several tasks, each of which looks for the originals of a part of the names.
+finds the rarer spellings' originals: words within one or two slips have a form in common that
+lacks as many letters, so only words that share one are compared, and a cell's cost grows with
+its names, not with their pairs. A cell of more than ``CELL`` names is shared by several tasks,
+each of which looks for the originals of a part of the names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unifold.functions.text import strip
-from unifold.llm.metric import pair_distances, typing_cost
+from unifold.llm.metric import distances, encode, typing_cost, typing_costs
 from unifold.llm.personnames import GivenNames, readings, segments, without_umlauts
 from unifold.runtime import cut_lineage
 
@@ -32,8 +33,13 @@ RADIUS = 2  # slips; a swap of neighbours is one slip and two Levenshtein edits
 BAND = 4
 LEARN_SHARE = 5e-4
 LEARN_PARTNERS = 20
-CELL = 20_000
-BLOCK = 2_000_000  # pairs of a cell that are looked at together
+CELL = 500_000
+CHUNK = 100_000  # rows of cells that are looked at together
+FORMS = 8_000_000  # shortened words that are sorted together
+BLOCK = 2_000_000  # pairs that are held before they are compared
+PAIRS = 20_000  # pairs that are compared together
+LONG = 40  # longer words have too many shortened forms
+_BASE = 0x5851F42D4C957F2D
 
 
 def learn_given_names(names: DataFrame, share: float = LEARN_SHARE, partners: int = LEARN_PARTNERS) -> list[str]:
@@ -152,67 +158,170 @@ def with_rare_pivots(read: DataFrame) -> DataFrame:
     return read.union(moved).union(meant).distinct()
 
 
-def _letters(word: str) -> int:
-    """A bit for each letter that occurs; one slip changes at most two of them."""
-    bits = 0
-    for c in word:
-        bits |= 1 << (ord(c) * 0x9E37 >> 4 & 63)
-    return bits
+def _chunks(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = CHUNK) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """The columns of whole runs of rows with equal keys, about ``rows`` rows together, and where each run begins.
 
-
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """The columns of each run of rows with equal keys; runs may go on from batch to batch."""
+    Runs may go on from batch to batch; one of more rows comes alone.
+    """
     held: list[dict[str, np.ndarray]] = []
+    size, least = 0, rows
 
-    def joined() -> dict[str, np.ndarray]:
-        return {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+    def begins(columns: dict[str, np.ndarray]) -> np.ndarray:
+        change = np.zeros(len(columns[keys[0]]), bool)
+        change[:1] = True
+        for k in keys:
+            change[1:] |= columns[k][1:] != columns[k][:-1]
+        return np.flatnonzero(change)
 
     for batch in batches:
-        columns = {c: batch[c].to_numpy() for c in batch.columns}
-        if not len(batch):
+        held.append({c: batch[c].to_numpy() for c in batch.columns})
+        size += len(batch)
+        if size < least:
             continue
-        change = np.zeros(len(batch), bool)
-        for k in keys:
-            change[1:] |= columns[k][1:] != columns[k][:-1]
-            change[0] |= bool(held) and columns[k][0] != held[-1][k][-1]
-        at = 0
-        for to in [*np.flatnonzero(change).tolist(), len(batch)]:
-            if held and to > at and change[at]:
-                yield joined()
-                held = []
-            if to > at:
-                held.append({c: v[at:to] for c, v in columns.items()})
-            at = to
+        every = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        starts = begins(every)
+        last = int(starts[-1])
+        if last:
+            yield {c: v[:last] for c, v in every.items()}, starts[:-1]
+        held, size = [{c: v[last:] for c, v in every.items()}], size - last
+        least = max(rows, 2 * size)  # a run that outgrows its batches isn't looked at batch by batch
+    if size:
+        every = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        yield every, begins(every)
+
+
+def _deletions(codes: np.ndarray, salt: np.ndarray, deep: bool) -> Iterator[np.ndarray]:
+    """Hashes of words of one length (a column each) without up to one letter, or up to two."""
+    size = len(codes)
+    back, power, begun = pow(_BASE, -1, 1 << 64), 1, [np.zeros(codes.shape[1], np.uint64)]
+    for row in codes:
+        z = row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        begun.append(begun[-1] + (z ^ (z >> np.uint64(32))) * np.uint64(power))
+        power = power * _BASE & (1 << 64) - 1
+    one, two = np.uint64(back), np.uint64(back * back & (1 << 64) - 1)
+
+    def mixed(h: np.ndarray, left: int) -> np.ndarray:
+        h = (h ^ salt) + np.uint64(left)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(30))
+
+    yield mixed(begun[size], size)
+    for i in range(size):
+        head = begun[i] - begun[i + 1] * one
+        yield mixed(head + begun[size] * one, size - 1)
+        if deep:
+            for j in range(i + 1, size):
+                yield mixed(head + begun[j] * one + (begun[size] - begun[j + 1]) * two, size - 2)
+
+
+def _meeting(words: list[str], cell: np.ndarray, lens: np.ndarray, rows: np.ndarray, deep: bool, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ``rows`` (later, earlier) of one cell whose words without up to one or two letters have a form in common, the later one ``wanted``.
+
+    Words within as many slips have such a form in common, so none is missed; equal hashes of
+    different forms only give needless pairs. Hashes are sorted in shares of ``FORMS``.
+    """
+    if not len(rows):
+        return
+    bits = np.uint64(max(1, int(rows.max()).bit_length()))
+    salt = (cell.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    groups = [rows[lens[rows] == size] for size in np.unique(lens[rows]).tolist()]
+    coded = [(g, encode([words[i] for i in g.tolist()])[0]) for g in groups]
+    forms = sum(len(g) * (1 + len(c) + (len(c) * (len(c) - 1) // 2 if deep else 0)) for g, c in coded)
+    shares = -(-forms // FORMS)
+    for share in range(shares):
+        found = []
+        for g, codes in coded:
+            index = g.astype(np.uint64)
+            for h in _deletions(codes, salt[g], deep):
+                if shares == 1:
+                    found.append((h << bits) | index)
+                else:
+                    mine = (h >> np.uint64(40)) % np.uint64(shares) == share
+                    found.append((h[mine] << bits) | index[mine])
+        every = np.concatenate(found)
+        every.sort()
+        every = every[np.append(True, every[1:] != every[:-1])]
+        form, row = every >> bits, (every & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        same = form[1:] == form[:-1]
+        place = np.arange(len(row))
+        start = np.maximum.accumulate(np.where(np.append(True, ~same), place, 0))
+        at = np.flatnonzero((place > start) & wanted[row])
+        step = 1
+        while len(at):  # with the row before, then the one before that, to the run's first
+            yield row[at], row[at - step]
+            step += 1
+            at = at[at - step >= start[at]]
+
+
+def _nearest(words: list[str], cell: np.ndarray, n: np.ndarray, lens: np.ndarray, rows: np.ndarray, wanted: np.ndarray, slips: int, best: dict[int, tuple]) -> None:
+    """Put into ``best`` for each wanted row its original within ``slips`` slips, if it has one."""
+    held, size = [], 0
+
+    def settle() -> None:
+        pairs = np.unique(np.concatenate(held))
+        for at in range(0, len(pairs), PAIRS):
+            i, j = pairs[at : at + PAIRS] // len(words), pairs[at : at + PAIRS] % len(words)
+            edits, cost = typing_costs([words[k] for k in i.tolist()], [words[k] for k in j.tolist()])
+            for k in np.flatnonzero(edits <= slips).tolist():
+                x, y = int(i[k]), int(j[k])
+                found = (int(edits[k]), -int(n[y]), int(cost[k]), words[y], y)
+                if x not in best or found < best[x]:
+                    best[x] = found
+
+    for i, j in _meeting(words, cell, lens, rows, slips > 1, wanted):
+        keep = (cell[i] == cell[j]) & (n[j] >= 2 * (n[i] - 1)) & (np.abs(lens[i] - lens[j]) <= slips)
+        held.append(i[keep] * len(words) + j[keep])
+        size += len(held[-1])
+        if size > BLOCK:
+            settle()
+            held, size = [], 0
     if held:
-        yield joined()
+        settle()
+
+
+def _long_pairs(lens: np.ndarray, starts: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (later, earlier) of one cell of which the later is ``own`` and above ``LONG`` letters, the lengths within the radius."""
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(lens)]):
+        long = lo + np.flatnonzero(lens[lo:hi] > LONG - RADIUS)
+        for x in long[own[long] & (lens[long] > LONG)].tolist():
+            y = long[(long < x) & (np.abs(lens[long] - lens[x]) <= RADIUS)]
+            if len(y):
+                yield np.full(len(y), x), y
 
 
-def _parents(families: list[str], n: np.ndarray, own: np.ndarray) -> dict[str, str]:
-    """The original of each family name at ``own``, or itself; commoner ones stand before rarer ones."""
+def _parents(families: list[str], n: np.ndarray, own: np.ndarray, starts: np.ndarray) -> list[str]:
+    """The original of each row's family name, or itself; rows that aren't ``own`` have themselves.
+
+    Each cell begins at one of ``starts``; in it commoner names stand before rarer ones. A name
+    within one slip of an original is settled before those that need two are looked for.
+    """
+    size = len(families)
+    begin = np.zeros(size, np.int64)
+    begin[starts[1:]] = 1
+    cell = np.cumsum(begin)
     lens = np.array([len(f) for f in families], np.int64)
-    letters = np.array([_letters(f) for f in families], np.uint64)
-    allowed = np.where(lens >= 8, RADIUS, 1)
-    commoner = np.minimum(np.arange(len(n)), np.searchsorted(-n, -2 * (n - 1), side="right"))
-    plain: dict[str, str] = {}
-    for f in families:
-        plain.setdefault(without_umlauts(f), f)
-    parents = {families[i]: plain[without_umlauts(families[i])] for i in own.tolist()}
-    todo = np.array([i for i in own.tolist() if parents[families[i]] == families[i]], np.int64)
-    step = max(1, BLOCK // max(1, len(families)))
-    for at in range(0, len(todo), step):
-        rows = todo[at : at + step]
-        close = np.bitwise_count(letters[rows][:, None] ^ letters[None, :]) <= 2 * allowed[rows][:, None]
-        close &= np.abs(lens[rows][:, None] - lens[None, :]) <= allowed[rows][:, None]
-        close &= np.arange(len(families))[None, :] < commoner[rows][:, None]
-        i, j = np.nonzero(close)
-        i = rows[i]
-        near = pair_distances([families[k] for k in i.tolist()], [families[k] for k in j.tolist()]) <= 2 * allowed[i]
-        best: dict[str, tuple] = {}
-        for x, y in zip(i[near].tolist(), j[near].tolist()):
-            slips, cost = typing_cost(families[x], families[y])
-            if slips <= allowed[x]:
-                best[families[x]] = min(best.get(families[x], (9,)), (slips, -int(n[y]), cost, families[y]))
-        parents |= {x: b[3] for x, b in best.items()}
+    parents, plain, open_ = list(families), {}, own.copy()
+    for i, (f, c) in enumerate(zip(families, cell.tolist())):
+        first = plain.setdefault((c, without_umlauts(f)), f)
+        if own[i] and first != f:
+            parents[i], open_[i] = first, False
+    best: dict[int, tuple] = {}
+    rows = np.flatnonzero(lens <= LONG)
+    _nearest(families, cell, n, lens, rows, open_ & (lens <= LONG), 1, best)
+    open_[list(best)] = False
+    far = open_ & (lens >= 8) & (lens <= LONG)
+    if far.any():
+        _nearest(families, cell, n, lens, rows[lens[rows] >= 8 - RADIUS], far, RADIUS, best)
+    for i, j in _long_pairs(lens, starts, open_) if int(lens.max(initial=0)) > LONG else ():
+        x, j = int(i[0]), j[n[j] >= 2 * (n[i] - 1)]
+        near = distances(families[x], *encode([families[y] for y in j.tolist()])) <= 2 * RADIUS
+        for y in j[near].tolist():
+            edits, cost = typing_cost(families[x], families[y])
+            if edits <= RADIUS:
+                best[x] = min(best.get(x, (9,)), (edits, -int(n[y]), round(10 * cost), families[y], y))
+    for i, b in best.items():
+        parents[i] = b[3]
     return parents
 
 
@@ -235,10 +344,10 @@ def family_roots(read: DataFrame) -> DataFrame:
     spread = spread.withColumn("mine", F.pmod(F.xxhash64("family"), F.col("parts"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell in _runs(batches, ["pivot", "band", "part"]):
-            mine = (cell["own"] == cell["band"]) & (cell["mine"] == cell["part"])
-            parents = _parents(cell["family"].tolist(), cell["n"], np.flatnonzero(mine))
-            yield pd.DataFrame([(cell["pivot"][0], f, p) for f, p in parents.items()], columns=["pivot", "family", "parent"])
+        for cells, starts in _chunks(batches, ["pivot", "band", "part"]):
+            mine = (cells["own"] == cells["band"]) & (cells["mine"] == cells["part"])
+            parents = np.array(_parents(cells["family"].tolist(), cells["n"], mine, starts), object)
+            yield pd.DataFrame({"pivot": cells["pivot"][mine], "family": cells["family"][mine], "parent": parents[mine]})
 
     cell = ["pivot", "band", "part"]
     ordered = spread.select(*cell, "own", "mine", "family", "n").repartition(*cell).sortWithinPartitions(*cell, F.desc("n"), "family")
