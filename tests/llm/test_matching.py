@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from unifold.llm.linkage import admm, firm_key, ground, link_people
-from unifold.llm import namelinks
+from unifold.llm import linkage, namelinks
 from unifold.llm.metric import BKTree, distances, encode, levenshtein, pair_distances, typing_cost, typing_costs
 from unifold.llm.namelinks import linked_names
 from unifold.llm.personnames import GivenNames, readings, without_umlauts
@@ -269,3 +269,42 @@ def test_cells_compare_few_pairs(monkeypatch):
     monkeypatch.setattr(namelinks, "FORMS", 20_000)
     monkeypatch.setattr(namelinks, "BLOCK", 1000)
     assert namelinks._parents(words, n, np.ones(len(words), bool), starts) == got
+
+
+def test_ties_of_a_name_are_closed_together(spark, monkeypatch):
+    """Components as by a search over all ties, whatever rows are tied together."""
+    r = random.Random(9)
+    rows, meant = [], []
+    for i in range(400):
+        keys = [f"{kind}:{r.randrange(900)}" for kind in "ephs" if r.random() < 0.4]
+        rows.append((i, keys, [f"f{r.randrange(40)}"] if r.random() < 0.3 else [], [f"t{r.randrange(3)}"]))
+        meant += [(i, w) for w in r.sample([f"w{k}" for k in range(25)], r.choice((0, 1, 1, 1, 2)))]
+    people = spark.createDataFrame(rows + rows[:20], "mid bigint, keys array<string>, firms array<string>, towns array<string>")
+    names = spark.createDataFrame(meant, "mid bigint, who string")
+    whos, ties, owners = {}, {}, {}
+    for i, w in meant:
+        whos.setdefault(i, []).append(w)
+    proofs = {i: [k for k in keys if k[0] in "eh"] + [f"x|{k}|{f}" for k in keys if k[0] == "p" for f in firms] for i, keys, firms, _ in rows}
+    for i, keys, firms, _ in rows:
+        for w in whos.get(i, []):
+            for k in [*keys, *(f"f:{f}" for f in firms), *proofs[i]]:
+                ties.setdefault((k, w), set()).add(i)
+            for k in proofs[i]:
+                owners.setdefault(k, set()).add(w)
+    for i, proof in proofs.items():
+        for k in [] if i in whos else proof:
+            if len(owners.get(k, ())) < 2:
+                ties.setdefault((k, *owners.get(k, ())), set()).add(i)
+    comp = {i: i for i, *_ in rows}
+    for _ in rows:
+        for held in ties.values():
+            low = min(comp[i] for i in held)
+            comp |= {i: low for i in held}
+    for together in (100_000, 3):
+        monkeypatch.setattr(linkage, "TOGETHER", together)
+        comps, found = linkage.tie_mentions(people, names)
+        got = comps.collect()
+        assert len({x.mid for x in got}) == len(got) and {x.mid: x.comp for x in got} == {x.mid: comp[x.mid] for x in got}
+        assert {i for i in comp if sum(comp[j] == comp[i] for j in comp) > 1} <= {x.mid for x in got}
+        several = {w for _, w in meant if len({comp[i] for i, v in meant if v == w}) > 1}
+        assert {x.who for x in found.select("who").collect()} >= several

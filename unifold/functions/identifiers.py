@@ -25,8 +25,17 @@ def phone_key(c: Column) -> Column:
     kept as bare digits, which match only the same bare digits. An extension is cut off.
     """
     s = F.regexp_replace(strip(c), _EXTENSION, "")
-    plus = F.startswith(s, F.lit("+"))
-    digits = F.regexp_replace(s, r"\D", "")
+    return _international(F.startswith(s, F.lit("+")), F.regexp_replace(s, r"\D", ""))
+
+
+def phone_keys(arr: Column) -> Column:
+    """``phone_key`` of each element; inside a lambda nothing is shared, so each step is an array of its own."""
+    bare = F.transform(arr, lambda x: F.regexp_replace(strip(x), _EXTENSION, ""))
+    told = F.transform(bare, lambda s: F.struct(F.startswith(s, F.lit("+")).alias("plus"), F.regexp_replace(s, r"\D", "").alias("digits")))
+    return F.transform(told, lambda x: _international(x["plus"], x["digits"]))
+
+
+def _international(plus: Column, digits: Column) -> Column:
     n = F.length(digits)
     return (
         F.when(n < MIN_PHONE_DIGITS, F.lit(None).cast("string"))

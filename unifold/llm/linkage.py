@@ -3,7 +3,8 @@
 Mentions of people come from several tables. Hard evidence first: two mentions whose names may
 mean the same person and that share an e-mail address, phone, handle or firm are tied. Ties run
 over composite keys (identifier and name), so an identifier that many people share ties nobody
-by itself and a hot one is spread over its names. Ties are closed to components.
+by itself and a hot one is spread over its names. Ties are closed to components, within each name
+by its task, then over the mentions that may have several names.
 
 What remains is soft: components of one name that share no identifier. Each pair of them is a
 variable in [0, 1], 1 meaning "the same person". Weighted rules become hinge losses:
@@ -31,10 +32,12 @@ from math import comb, perm
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unifold.functions.identifiers import array_of, email_key, handle_key, phone_key
+from unifold.functions.identifiers import array_of, email_key, handle_key, phone_keys
 from unifold.functions.text import squeeze
 from unifold.llm.components import connected_components, edges_from_keys
 from unifold.llm.namelinks import distinct_names, name_clusters
@@ -46,6 +49,7 @@ SLACK = 1e-4
 ROUNDS = 200_000
 TOLERANCE = 1e-6
 RHO = 1.0
+TOGETHER = 100_000  # rows of whole names that are tied together
 
 # Weights of the rules.
 W_NAME, W_TOWN = 1.0, 1.2
@@ -58,8 +62,25 @@ _FIRM_WORDS = r"\b(ltd|limited|gmbh|inc|incorporated|llc|llp|corp|corporation|co
 
 def firm_key(c: Column) -> Column:
     """A firm's telling words in lower case, without legal forms and general words."""
-    plain = F.regexp_replace(F.lower(squeeze(c)), r"[^\p{L}\p{N}]+", " ")
-    core = F.regexp_replace(F.regexp_replace(plain, _FIRM_WORDS, " "), r"\s+", "")
+    plain = _plain_firm(c)
+    return _telling(plain, _firm_core(plain))
+
+
+def firm_keys(arr: Column) -> Column:
+    """``firm_key`` of each element; inside a lambda nothing is shared, so each step is an array of its own."""
+    told = F.transform(F.transform(arr, _plain_firm), lambda p: F.struct(p.alias("plain"), _firm_core(p).alias("core")))
+    return F.transform(told, lambda x: _telling(x["plain"], x["core"]))
+
+
+def _plain_firm(c: Column) -> Column:
+    return F.regexp_replace(F.lower(squeeze(c)), r"[^\p{L}\p{N}]+", " ")
+
+
+def _firm_core(plain: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(plain, _FIRM_WORDS, " "), r"\s+", "")
+
+
+def _telling(plain: Column, core: Column) -> Column:
     return F.when(core != "", core).otherwise(F.when(F.trim(plain) != "", F.regexp_replace(plain, " ", "")))
 
 
@@ -73,16 +94,15 @@ def mentions(sheet: DataFrame, hosts: DataFrame, profiles: DataFrame) -> DataFra
         def keyed(kind: str, arr: Column, fn) -> Column:
             return F.transform(F.filter(F.transform(array_of(arr), fn), lambda x: x.isNotNull()), lambda x: F.concat(F.lit(kind), x))
 
-        phone = F.filter(F.transform(array_of(phones), phone_key), lambda x: x.isNotNull())
+        phone = F.filter(phone_keys(array_of(phones)), lambda x: x.isNotNull())
         keys = F.array_distinct(F.concat(
             keyed("e:", emails, email_key),
-            F.transform(phone, lambda x: F.concat(F.lit("p:"), x)),
-            F.transform(phone, lambda x: F.concat(F.lit("s:"), F.substring(F.regexp_replace(x, r"\D", ""), -7, 7))),
+            F.flatten(F.transform(phone, lambda x: F.array(F.concat(F.lit("p:"), x), F.concat(F.lit("s:"), F.substring(F.regexp_replace(x, r"\D", ""), -7, 7))))),
             keyed("h:", handles, handle_key),
         ))
         return df.where(key.isNotNull()).select(
             (key * 4 + code).alias("mid"), F.lit(table).alias("src_table"), key.alias("src_id"), squeeze(name).alias("name"), keys.alias("keys"),
-            F.array_distinct(F.filter(F.transform(array_of(firms), firm_key), lambda x: x.isNotNull())).alias("firms"),
+            F.array_distinct(F.filter(firm_keys(array_of(firms)), lambda x: x.isNotNull())).alias("firms"),
             F.array_distinct(F.filter(F.array(F.lower(squeeze(town))), lambda x: x.isNotNull() & (x != ""))).alias("towns"),
         )
 
@@ -96,44 +116,105 @@ def mentions(sheet: DataFrame, hosts: DataFrame, profiles: DataFrame) -> DataFra
     )
 
 
-def tie_components(people: DataFrame, meant: DataFrame) -> DataFrame:
-    """(mid, comp): mentions tied by an identifier or firm and a common meaning of their names.
+def _roots(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """The smallest node of each node's component under the edges (a, b)."""
+    root = np.arange(size)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))  # every root hangs from its smallest neighbour
+        while len(up := root[root]) and (up != root).any():
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return root
+
+
+def _tied(rows: pa.Table) -> pa.Table:
+    """Rows of whole names, sorted by name and mention, with ``label``, the smallest mention tied to each within its name, and ``many``, whether its name has several."""
+    mid = rows["mid"].to_numpy()
+    who = rows["who"].combine_chunks().dictionary_encode().indices.to_numpy()
+    place = np.arange(len(mid))
+    node = np.maximum.accumulate(np.where(np.append(True, (mid[1:] != mid[:-1]) | (who[1:] != who[:-1])), place, 0))
+    keys = rows["keys"].combine_chunks()
+    owner = np.repeat(place, np.diff(keys.offsets.to_numpy()))
+    with np.errstate(over="ignore"):
+        told = keys.flatten().to_numpy().astype(np.uint64) + who[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    _, item = np.unique(told, return_inverse=True)
+    root = _roots(node[owner], len(mid) + item, len(mid) + int(item.max(initial=-1)) + 1)[node]
+    several = np.zeros(int(who.max(initial=-1)) + 1, bool)
+    first = np.full(len(several), len(mid))
+    np.minimum.at(first, who, root)
+    several[who[root != first[who]]] = True
+    return rows.drop_columns(["keys"]).append_column("label", pa.array(mid[root])).append_column("many", pa.array(several[who]))
+
+
+def _by_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_tied`` over rows sorted by name, some whole names at a time."""
+    held: list[pa.RecordBatch] = []
+    size, least = 0, TOGETHER
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size < least:
+            continue
+        rows = pa.Table.from_batches(held)
+        begins = pc.index(rows["who"], rows["who"][-1]).as_py()
+        if begins:
+            yield from _tied(rows.slice(0, begins)).to_batches()
+        held, size = rows.slice(begins).to_batches(), size - begins
+        least = max(TOGETHER, 2 * size)
+    if size:
+        yield from _tied(pa.Table.from_batches(held)).to_batches()
+
+
+def tie_mentions(people: DataFrame, meant: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mentions tied by an identifier or firm and a common meaning of their names.
 
     ``meant`` has (mid, who). A mention without a readable name is tied by an address, a handle
     or a phone together with a firm, if all named mentions that hold it may mean one person or
     none holds it.
+
+    A tie holds within one name, so each name's ties are closed by its task, and only mentions
+    with several names connect what the tasks found. Returns (mid, comp) for all that may be
+    tied, and the named mentions of names with several components: (who, comp, towns, firms,
+    phones, handles). Identifiers are told apart by 64-bit hashes within a name.
     """
-    keyed = people.select("mid", F.explode("keys").alias("key"))
-    named = keyed.join(meant, "mid").select("mid", "key", "who")
     both = F.flatten(F.transform(F.filter("keys", lambda k: F.startswith(k, F.lit("p:"))), lambda p: F.transform("firms", lambda f: F.concat_ws("|", F.lit("x"), p, f))))
-    proof = F.concat(F.filter("keys", lambda k: F.substring(k, 1, 2).isin("e:", "h:")), both)
-    strong = people.select("mid", F.explode(proof).alias("key"))
-    known = meant.select("mid").distinct()
-    owners = strong.join(meant, "mid").groupBy("key").agg(F.min("who").alias("who"), F.max("who").alias("other"))
-    nameless = (
-        strong.join(known, "mid", "left_anti").join(owners, "key", "left").where("who is null or who = other")
-        .select("mid", "key", F.coalesce("who", F.lit("")).alias("who"))
-    )
-    held = nameless.where("who <> ''").select("key", "who").distinct()
-    named = named.union(strong.where(F.startswith("key", F.lit("x|"))).join(held, "key").select("mid", "key", "who"))
-    firms = people.select("mid", F.explode("firms").alias("key")).join(meant, "mid").select("mid", F.concat(F.lit("f:"), "key").alias("key"), "who")
-    ties = named.union(nameless).union(firms).select(F.col("mid").alias("id"), F.concat_ws("|", "key", "who").alias("key"))
-    comps = connected_components(people.select(F.col("mid").alias("id")), edges_from_keys(ties))
-    return comps.select(F.col("id").alias("mid"), F.col("group_no").alias("comp"))
+    proof = F.concat(F.filter("keys", lambda k: F.substring(k, 1, 2).isin("e:", "h:")), "both")
+    every = F.concat("keys", F.transform("firms", lambda f: F.concat(F.lit("f:"), f)), "both")
 
+    def held(kind: str) -> Column:
+        return F.exists("keys", lambda k: F.startswith(k, F.lit(kind))).cast("int")
 
-def component_nodes(people: DataFrame, meant: DataFrame, comps: DataFrame) -> DataFrame:
-    """(who, comp, towns, firms, phones, handles): the components of each name with their evidence."""
-    placed = comps.join(meant, "mid").select("mid", "comp", "who")
-    facts = people.select(
-        "mid", "towns", F.size("firms").alias("firms"),
-        F.size(F.filter("keys", lambda k: F.startswith(k, F.lit("p:")))).alias("phones"),
-        F.size(F.filter("keys", lambda k: F.startswith(k, F.lit("h:")))).alias("handles"),
+    facts = people.withColumn("both", both).select(
+        "mid", proof.alias("proof"), F.transform(every, lambda k: F.xxhash64(k)).alias("keys"), "towns",
+        (F.size("firms") > 0).cast("int").alias("firms"), held("p:").alias("phones"), held("h:").alias("handles"),
     )
-    each = placed.join(facts, "mid")
-    sums = each.groupBy("who", "comp").agg(F.max("firms").alias("firms"), F.max("phones").alias("phones"), F.max("handles").alias("handles"))
-    towns = each.select("who", "comp", F.explode("towns").alias("town")).distinct().groupBy("who", "comp").agg(F.collect_list("town").alias("towns"))
-    return sums.join(towns, ["who", "comp"], "left").withColumn("towns", F.coalesce("towns", F.array().cast("array<string>")))
+    told = cut_lineage(facts.join(meant, "mid", "left").withColumn("multi", F.count(F.lit(1)).over(Window.partitionBy("mid")) > 1))
+    strong = told.where("who is null").select("mid", F.explode("proof").alias("key")).distinct()
+    owners = told.where("who is not null").select(F.explode("proof").alias("key"), "who").join(strong.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("who").alias("who"), F.max("who").alias("other"))
+    nameless = cut_lineage(strong.join(owners, "key", "left").where("who is null or who = other").select("mid", "key", "who"))
+    columns = ["who", "mid", "keys", "towns", "firms", "phones", "handles", "multi"]
+    named = told.where("who is not null").select(*columns, F.lit(True).alias("named"))
+    owned = nameless.where("who is not null").select("who", "mid", F.array(F.xxhash64("key")).alias("keys"), F.array().cast("array<string>").alias("towns"), *(F.lit(0).alias(c) for c in columns[4:7]), F.lit(True).alias("multi"), F.lit(False).alias("named"))
+    lone = nameless.where("who is null").select(F.col("mid").alias("id"), "key")
+    rows = named.union(owned).repartition("who").sortWithinPartitions("who", "mid")
+    tied = cut_lineage(rows.mapInArrow(_by_names, "who string, mid bigint, towns array<string>, firms int, phones int, handles int, multi boolean, named boolean, label bigint, many boolean"))
+    shared = tied.where("multi")
+    ends = shared.select(F.col("mid").alias("id")).union(shared.select("label")).union(lone.select("id"))
+    top = cut_lineage(connected_components(ends, edges_from_keys(lone).union(shared.select("mid", "label"))))
+    above = top.select(F.col("id").alias("label"), "group_no")
+    comp = F.coalesce("group_no", "label").alias("comp")
+    single = tied.where("not multi").select("mid", "label").join(above, "label", "left").select("mid", comp)
+    several = shared.select("mid").union(lone.select("id")).distinct().join(top.withColumnRenamed("id", "mid"), "mid").select("mid", F.col("group_no").alias("comp"))
+    found = tied.where("many and named").join(above, "label", "left").select("who", comp, "towns", "firms", "phones", "handles")
+    return single.union(several), found
+
+
+def component_nodes(found: DataFrame) -> DataFrame:
+    """(who, comp, towns, firms, phones, handles): the components of each name with their evidence."""
+    return found.groupBy("who", "comp").agg(
+        *(F.max(c).alias(c) for c in ("firms", "phones", "handles")), F.array_distinct(F.flatten(F.collect_set("towns"))).alias("towns")
+    ).select("who", "comp", "towns", "firms", "phones", "handles")
 
 
 def soft_matches(nodes: DataFrame) -> DataFrame:
@@ -427,14 +508,12 @@ def link_people(sheet: DataFrame, hosts: DataFrame, profiles: DataFrame) -> Data
     names = cut_lineage(distinct_names([people.select("name")]))
     meant = people.select("mid", "name").join(name_clusters(names), "name").select("mid", F.concat_ws("|", "pivot", "root").alias("who"))
     meant = cut_lineage(meant)
-    comps = cut_lineage(tie_components(people, meant))
-    soft = soft_matches(component_nodes(people, meant, comps))
-    placed = cut_lineage(
-        people.select("mid", "src_table", "src_id").join(comps, "mid").join(soft, "comp", "left")
-        .select("src_table", "src_id", "comp", F.coalesce("person", "comp").alias("person"), F.coalesce("confidence", F.lit(1.0)).alias("sure"))
-    )
-    left = placed.where("src_table <> 'output_default'").select("src_table", "src_id", "person", F.col("sure").alias("sa"), F.col("comp").alias("ca"))
-    right = placed.where("src_table = 'output_default'").select(F.col("src_id").alias("record_no"), "person", F.col("sure").alias("sb"), F.col("comp").alias("cb"))
+    comps, found = tie_mentions(people, meant)
+    soft = soft_matches(cut_lineage(component_nodes(found)))
+    placed = cut_lineage(comps.join(soft, "comp", "left").select("mid", "comp", F.coalesce("person", "comp").alias("person"), F.coalesce("confidence", F.lit(1.0)).alias("sure")))
+    table = F.pmod("mid", F.lit(4))
+    src_id = F.shiftright("mid", 2)
+    left = placed.where(table != 0).select(F.when(table == 1, "sample_csv").otherwise("github_mock").alias("src_table"), src_id.alias("src_id"), "person", F.col("sure").alias("sa"), F.col("comp").alias("ca"))
+    right = placed.where(table == 0).select(src_id.alias("record_no"), "person", F.col("sure").alias("sb"), F.col("comp").alias("cb"))
     confidence = F.when(F.col("ca") == F.col("cb"), F.lit(1.0)).otherwise(F.round(F.least("sa", "sb"), 4))
-    pairs = left.join(right, "person")
-    return pairs.groupBy("src_table", "src_id", "record_no").agg(F.max(confidence).alias("confidence"))
+    return left.join(right, "person").select("src_table", "src_id", "record_no", confidence.alias("confidence"))  # each mention is placed once

@@ -155,7 +155,7 @@ def with_rare_pivots(read: DataFrame) -> DataFrame:
     initials = read.where(F.col("initial_only") & F.startswith("pivot", F.lit("i:"))).select("name", F.expr("substring(pivot, 3)").alias("initial"), "family")
     rare = unknown.select("pivot", F.col("family").alias("other"), F.expr("substring(pivot, 2, 1)").alias("initial")).distinct()
     meant = _meet(initials, rare, "family", ["initial"]).select("name", "pivot", "family", F.lit(0).alias("slips"), F.lit(True).alias("initial_only"))
-    return read.union(moved).union(meant).distinct()
+    return read.union(moved).union(meant)
 
 
 def _chunks(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = CHUNK) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -326,7 +326,7 @@ def _parents(families: list[str], n: np.ndarray, own: np.ndarray, starts: np.nda
 
 
 def family_roots(read: DataFrame) -> DataFrame:
-    """(pivot, family, root): the commonest spelling of each family name within its pivot.
+    """(pivot, family, root): the commonest spelling within its pivot of each family name that isn't its own.
 
     A family name is a spelling of another, commoner one (by the number of names that have it)
     within one slip, or within two if it is long. Beyond its first name a spelling needs twice
@@ -337,22 +337,21 @@ def family_roots(read: DataFrame) -> DataFrame:
     size = F.length("family")
     reach = F.sequence(F.floor(F.greatest(size - RADIUS, F.lit(0)) / BAND), F.floor((size + RADIUS) / BAND))
     cells = cut_lineage(entries.withColumn("own", F.floor(size / BAND)).withColumn("band", F.explode(reach)))
-    size_of = cells.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("k"))
-    sized = cells.join(size_of, ["pivot", "band"])
-    alone = sized.where("k = 1 and own = band").select("pivot", "family", F.col("family").alias("parent"))
-    spread = sized.where("k > 1").withColumn("parts", F.ceil(F.col("k") / CELL)).drop("k")
+    large = cells.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CELL)
+    spread = cells.join(F.broadcast(large), ["pivot", "band"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("k") / CELL), F.lit(1).cast("bigint"))).drop("k")
     spread = spread.withColumn("mine", F.pmod(F.xxhash64("family"), F.col("parts"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cells, starts in _chunks(batches, ["pivot", "band", "part"]):
             mine = (cells["own"] == cells["band"]) & (cells["mine"] == cells["part"])
             parents = np.array(_parents(cells["family"].tolist(), cells["n"], mine, starts), object)
+            mine &= parents != cells["family"]
             yield pd.DataFrame({"pivot": cells["pivot"][mine], "family": cells["family"][mine], "parent": parents[mine]})
 
     cell = ["pivot", "band", "part"]
     ordered = spread.select(*cell, "own", "mine", "family", "n").repartition(*cell).sortWithinPartitions(*cell, F.desc("n"), "family")
     joined = ordered.mapInPandas(join, "pivot string, family string, parent string")
-    links = cut_lineage(joined.union(alone))
+    links = cut_lineage(joined)
     for _ in range(2):
         up = links.select("pivot", F.col("family").alias("parent"), F.col("parent").alias("up"))
         links = links.join(up, ["pivot", "parent"], "left").select("pivot", "family", F.coalesce("up", "parent").alias("parent"))
@@ -368,8 +367,8 @@ def name_clusters(names: DataFrame, givens: GivenNames | None = None) -> DataFra
     """
     givens = givens or GivenNames(learn_given_names(names))
     read = cut_lineage(with_rare_pivots(cut_lineage(read_names(names, givens))))
-    member = cut_lineage(read.join(family_roots(read), ["pivot", "family"]).select("name", "pivot", "root", "initial_only"))
-    full = cut_lineage(_likeliest(member.where("not initial_only").select("name", "pivot", "root").distinct()))
+    member = cut_lineage(read.join(family_roots(read), ["pivot", "family"], "left").select("name", "pivot", F.coalesce("root", "family").alias("root"), "initial_only"))
+    full = cut_lineage(_likeliest(member.where("not initial_only")))
     persons = full.select("pivot", "root").distinct()
     short = member.where("initial_only")
     meant = short.join(persons, ["pivot", "root"]).distinct()
@@ -384,12 +383,14 @@ def _likeliest(full: DataFrame) -> DataFrame:
     "Alex" may be two names; beside an "Alexander" of the family it is that one. Where no
     meaning is confirmed all stay.
     """
-    counted = full.join(full.groupBy("name").agg(F.count(F.lit(1)).alias("k")), "name")
-    sure = counted.where("k = 1").select("pivot", "root").distinct().withColumn("sure", F.lit(1))
-    open_ = counted.where("k > 1").join(sure, ["pivot", "root"], "left")
-    any_sure = open_.where("sure = 1").select("name").distinct().withColumn("has", F.lit(1))
-    kept = open_.join(any_sure, "name", "left").where("has is null or sure = 1")
-    return counted.where("k = 1").select("name", "pivot", "root").union(kept.select("name", "pivot", "root"))
+    meaning = F.struct("pivot", "root")
+    told = cut_lineage(full.groupBy("name").agg(F.collect_set(meaning).alias("meanings")))
+    one = told.where(F.size("meanings") == 1).select("name", F.inline("meanings"))
+    sure = one.select("pivot", "root").distinct().withColumn("sure", F.lit(1))
+    open_ = told.where(F.size("meanings") > 1).select("name", F.inline("meanings")).join(sure, ["pivot", "root"], "left")
+    judged = open_.groupBy("name").agg(F.max("sure").alias("has"), F.collect_list(F.struct("pivot", "root", "sure")).alias("meanings"))
+    kept = judged.select("name", "has", F.inline("meanings")).where("has is null or sure = 1")
+    return one.union(kept.select("name", "pivot", "root"))
 
 
 def linked_names(names: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; Catalyst prunes columns and pushes filters into the scan."""
@@ -36,7 +38,8 @@ def cut_lineage(df: DataFrame, instead_of: tuple[DataFrame, ...] = ()) -> DataFr
 
     Survives the loss of any executor: the files are in the shared folder, unlike a local
     checkpoint, whose only copy is on the executor that computed it. Once they are written, the
-    files of the frames in ``instead_of``, which nothing must need any more, are deleted.
+    files of the frames in ``instead_of``, which nothing must need any more, are deleted. So are the
+    shuffle files that ``df`` was made from; a frame that shares its plan shuffles for itself.
 
     A checkpointed frame keeps the size estimate of the plan it came from. In a loop of joins the
     estimates multiply every round, until the planner computes with numbers of millions of digits;
@@ -44,7 +47,12 @@ def cut_lineage(df: DataFrame, instead_of: tuple[DataFrame, ...] = ()) -> DataFr
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    saved = df.checkpoint(eager=True)._jdf
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # counts for frames made from here on
+    try:
+        saved = df.select("*").checkpoint(eager=True)._jdf
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     fresh = DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
     written = saved.logicalPlan().rdd().getCheckpointFile()
     fresh._checkpoint_file = written.get() if written.isDefined() else None
